@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "p03_rule_cascade"
-MODULES: tuple = ()
+from gleaner.plans import runs, selection
+
+FLAGSHIP = "rule03_cascade"
+MODULES = (selection, runs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
