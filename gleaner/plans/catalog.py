@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import runs, selection
+from gleaner.plans import runs, scores, selection
 
 FLAGSHIP = "rule03_cascade"
-MODULES = (selection, runs)
+MODULES = (selection, runs, scores)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

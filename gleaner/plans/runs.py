@@ -41,7 +41,7 @@ def j12_first_copy(spark, sf):
 
 
 # A number that doesn't fit the run key's text order isn't needed: runs sort by key.
-@query(f"select run_key, tag, step, round(avg(value) over w, 6) as mean3 from {LOG} qualify count(*) over w = 3 and count(value) over w = 3 window w as (partition by run_key, tag order by step rows 2 preceding)")
+@query(f"select run_key, tag, step, round(avg(value) over w, 6) as mean3 from {LOG} window w as (partition by run_key, tag order by step rows 2 preceding) qualify count(*) over w = 3 and count(value) over w = 3")
 def w14_moving_mean(spark, sf):
     """Mean of the last three, none where one is missing."""
     w = W.partitionBy("run_key", "tag").orderBy("step").rowsBetween(-2, 0)
@@ -88,8 +88,10 @@ def w20_superseded(spark, sf):
     df = table(spark, sf, "run_scalar", "run_key", "tag", "step", "wall", "elapsed_s").filter("run_key is not null")
     back = F.lag("step").over(W.partitionBy("run_key").orderBy("wall", "step", "tag", "elapsed_s"))
     df = df.withColumn("restored", F.when(F.col("step") < back, F.col("step")))
-    least = F.min("restored").over(W.partitionBy("run_key").orderBy(F.desc("wall")).rangeBetween(W.unboundedPreceding, -1e-9))
-    return df.withColumn("superseded", F.coalesce(F.col("step") >= least, F.lit(False))).drop("restored")
+    # Descending microseconds, so that "later" is a range that ends one before the row.
+    df = df.withColumn("us", -F.round(F.col("wall") * 1e6).cast("bigint"))
+    least = F.min("restored").over(W.partitionBy("run_key").orderBy("us").rangeBetween(W.unboundedPreceding, -1))
+    return df.withColumn("superseded", F.coalesce(F.col("step") >= least, F.lit(False))).drop("restored", "us")
 
 
 @query(f"""with l as (select *, lag(step) over (partition by run_key order by wall, step, tag, elapsed_s) as before from run_scalar where run_key is not null)

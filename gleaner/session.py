@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +30,26 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) ->
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers import this package, wherever the driver was started.
+
+    Nothing is done where PYTHONPATH names it already, as on a cluster where it is installed. Else the
+    path is handed to the workers, and a cluster is sent the package as an archive.
+    """
+    context, root = spark.sparkContext, str(Path(__file__).resolve().parent.parent)
+    if getattr(context, "_gleaner_shipped", False) or root in os.environ.get("PYTHONPATH", "").split(":"):
+        return
+    context.environment["PYTHONPATH"] = ":".join(filter(None, [root, context.environment.get("PYTHONPATH", "")]))
+    if not context.master.startswith("local"):
+        folder = tempfile.mkdtemp()
+        context.addPyFile(shutil.make_archive(f"{folder}/gleaner", "zip", root, "gleaner"))
+        shutil.rmtree(folder)
+    context._gleaner_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A stored table, narrowed to the named columns so that the scan reads only those."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -58,7 +79,7 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
     return back
