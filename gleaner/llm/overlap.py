@@ -41,7 +41,7 @@ WINDOW = 8
 CELLS = 1 << 16
 BLOCK = 136
 KEEP = None
-SPANS = "key bigint, lo bigint, mask bigint, span int, tid bigint, first int, last int, n int"
+SPANS = "key bigint, lo bigint, span int, tid bigint, first int, last int, n int"
 
 
 def comparable(texts: list[str | None]) -> list[str]:
@@ -186,10 +186,13 @@ def _mask(span: np.ndarray) -> np.ndarray:
     return keep[span - GRAM]
 
 
-def _merged(c: Codes, row, at, last, key, lo, mask, span) -> pa.RecordBatch:
+MASK = f"case when span = {GRAM} then 0L else shiftleft(-1L, 16 * ({WINDOW} - span)) end"
+
+
+def _merged(c: Codes, row, at, last, key, lo, span) -> pa.RecordBatch:
     """One row for equal spans of one text, with the first and last place of them."""
     order = np.lexsort((at, lo, key, row))
-    row, at, last, key, lo, mask, span = (x[order] for x in (row, at, last, key, lo, mask, span))
+    row, at, last, key, lo, span = (x[order] for x in (row, at, last, key, lo, span))
     head = np.ones(len(row), bool)
     head[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (span[1:] != span[:-1])
     begin = np.flatnonzero(head)
@@ -199,8 +202,8 @@ def _merged(c: Codes, row, at, last, key, lo, mask, span) -> pa.RecordBatch:
     signed = lambda x: pa.array(pick(x).view(np.int64), pa.int64())
     small = lambda x: pa.array(x.astype(np.int32), pa.int32())
     return pa.RecordBatch.from_arrays(
-        [signed(key), signed(lo), signed(mask), small(pick(span)), pa.array(c.tid[pick(row)], pa.int64()), small(pick(at - base)), small(end - pick(base)), small(c.n[pick(row)])],
-        ["key", "lo", "mask", "span", "tid", "first", "last", "n"],
+        [signed(key), signed(lo), small(pick(span)), pa.array(c.tid[pick(row)], pa.int64()), small(pick(at - base)), small(end - pick(base)), small(c.n[pick(row)])],
+        ["key", "lo", "span", "tid", "first", "last", "n"],
     )
 
 
@@ -228,7 +231,7 @@ def _training_spans(counts: np.ndarray, piece_counts: np.ndarray, rate: Fraction
                 continue
             mask = _mask(span)
             cold = ~hot
-            parts = [(row[cold], at[cold], at[cold], c.hi[at[cold]], c.lo[at[cold]] & mask[cold], mask[cold], span[cold])]
+            parts = [(row[cold], at[cold], at[cold], c.hi[at[cold]], c.lo[at[cold]] & mask[cold], span[cold])]
             for r, p in zip(row[hot], at[hot]):
                 base, n = c.at[r], c.n[r]
                 grid = np.concatenate([np.arange(base, p - 1, 2), np.arange(p + GRAM, base + n - 1, 2)])
@@ -236,7 +239,7 @@ def _training_spans(counts: np.ndarray, piece_counts: np.ndarray, rate: Fraction
                 grid = grid[np.argsort(piece_counts[_cell(c.pair[grid], len(counts))], kind="stable")[:need]]
                 like = np.full(len(grid), 1, np.int64)
                 key = _with_piece(np.full(len(grid), c.hi[p], np.uint64), c.pair[grid])
-                parts.append((like * r, like * p, like * p, key, np.zeros(len(grid), np.uint64), np.zeros(len(grid), np.uint64), like * (GRAM + 2)))
+                parts.append((like * r, like * p, like * p, key, np.zeros(len(grid), np.uint64), like * GRAM))
             yield _merged(c, *(np.concatenate(x) for x in zip(*parts)))
 
     return run
@@ -249,8 +252,7 @@ def _held_out_spans(wanted: np.ndarray, rate: Fraction):
         for b in batches:
             c = Codes(b)
             row, at = c.starts(GRAM)
-            zero = np.zeros(len(row), np.uint64)
-            parts = [(row, at, at, c.hi[at], c.lo[at], zero, np.full(len(row), GRAM))]
+            parts = [(row, at, at, c.hi[at], c.lo[at], np.full(len(row), GRAM))]
             limit = wanted[_cell(c.hi[at], len(wanted))]
             hot = np.flatnonzero(c.n[row] <= limit + edits_allowed(limit, rate))
             for lot in np.array_split(hot, max(1, len(hot) // 4096)):
@@ -262,7 +264,7 @@ def _held_out_spans(wanted: np.ndarray, rate: Fraction):
                 apart = (piece + 2 <= at[which]) | (piece >= at[which] + GRAM)
                 which, piece = which[apart], piece[apart]
                 none = np.zeros(len(which), np.uint64)
-                parts.append((row[which], at[which], at[which], _with_piece(c.hi[at[which]], c.pair[piece]), none, none, np.full(len(which), GRAM + 2)))
+                parts.append((row[which], at[which], at[which], _with_piece(c.hi[at[which]], c.pair[piece]), none, np.full(len(which), GRAM)))
             yield _merged(c, *(np.concatenate(x) for x in zip(*parts)))
 
     return run
@@ -300,7 +302,7 @@ def shared_spans(texts: DataFrame, rate: Fraction = Fraction(15, 100), cells: in
     b = held.mapInArrow(_held_out_spans(wanted, rate), SPANS).select("key", F.col("lo").alias("lo_b"), F.col("tid").alias("tid_held"), F.col("first").alias("first_b"), F.col("last").alias("last_b"), F.col("n").alias("n_b"))
     most = F.expr(f"greatest(n, n_b) * {rate.numerator} div {rate.denominator}")
     near = (
-        (F.col("lo_b").bitwiseAND(F.col("mask")) == F.col("lo"))
+        (F.col("lo_b").bitwiseAND(F.expr(MASK)) == F.col("lo"))
         & (F.abs(F.col("n") - F.col("n_b")) <= most)
         & (F.col("first") <= F.col("last_b") + most)
         & (F.col("last") >= F.col("first_b") - most)
@@ -343,9 +345,11 @@ def cross_split_pairs(utterances: DataFrame, rate: Fraction = Fraction(15, 100),
     records = materialise(held_out_records(utterances, min_len), "records")
     texts = materialise(distinct_texts(records), "texts")
     near = near_texts(texts, rate, **tuning)
-    one = records.filter("held_out").select(F.col("id").alias("id_held"), F.col("text").alias("text_held"))
-    two = records.filter("not held_out").select(F.col("id").alias("id_train"), F.col("text").alias("text_train"))
-    pairs = near.join(one, "text_held").join(two, "text_train").filter("id_held != id_train")
+    # Two hashes, 96 bits in all, stand for the text, so that no text travels to be joined with its ids.
+    marked = near.select(*(f(c).alias(f"{h}_{c}") for c in ("text_held", "text_train") for h, f in (("a", F.xxhash64), ("b", F.hash))), "edits", "covered")
+    ids = lambda side: (F.xxhash64("text").alias(f"a_text_{side}"), F.hash("text").alias(f"b_text_{side}"), F.col("id").alias(f"id_{side}"))
+    pairs = marked.join(records.filter("held_out").select(*ids("held")), ["a_text_held", "b_text_held"])
+    pairs = pairs.join(records.filter("not held_out").select(*ids("train")), ["a_text_train", "b_text_train"]).filter("id_held != id_train")
     return pairs.select("id_held", "id_train", "edits", "covered").distinct()
 
 
