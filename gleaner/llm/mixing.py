@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import fold_name
 
+TEMPORARY = ("_folded", "_named", "_base", "_steps", "_u", "_count", "_order")
 PLAN = "source string, folded string, target_share double, max_repeats double, size bigint, rate double, mean double, short boolean, base int, steps array<double>"
 
 
@@ -86,19 +87,18 @@ def mixing_plan(documents: DataFrame, targets: DataFrame, size: str) -> DataFram
 def replicate(documents: DataFrame, plan: DataFrame, key: str, seed: str = "mix") -> DataFrame:
     """Each document of a planned source by its count, in global hash order.
 
-    All columns pass; ``source`` is written as in the plan, and ``copy`` numbers the copies from 1.
-    A column ``copy`` in the input is refused. The count depends on the seed and the key only, so
-    rows that share a key share their count.
+    All columns pass; ``source`` is written as in the plan, and ``copy``, which replaces a column of
+    that name, numbers the copies from 1. The count depends on the seed and the key only, so rows that
+    share a key share their count. Rows with a null or unplanned source give nothing.
     """
-    if "copy" in documents.columns:
-        raise ValueError("column exists already: copy")
+    documents = documents.drop("copy", *TEMPORARY)
     known = plan.select(F.col("source").alias("_named"), F.col("folded").alias("_folded"), F.col("base").alias("_base"), F.col("steps").alias("_steps"))
     uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11).cast("double") / F.lit(float(1 << 53))
     count = F.col("_base") + F.size(F.filter("_steps", lambda s: s <= F.col("_u")))
     rows = documents.withColumn("_folded", fold_name(F.col("source"))).join(known, "_folded")
     rows = rows.withColumn("_u", uniform).withColumn("_count", count).filter("_count > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_count")))).withColumn("source", F.col("_named"))
-    return rows.withColumn("_order", F.xxhash64(F.lit(seed + " order"), key, "copy")).orderBy("_order", key, "copy").drop("_folded", "_named", "_base", "_steps", "_u", "_count", "_order")
+    return rows.withColumn("_order", F.xxhash64(F.lit(seed + " order"), key, "copy")).orderBy("_order", key, "copy").drop(*TEMPORARY)
 
 
 def share_report(mixed: DataFrame, plan: DataFrame, size: str) -> DataFrame:

@@ -24,7 +24,7 @@ Texts are handled once however many records share them.
 
 from __future__ import annotations
 
-import math
+import re
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -40,16 +40,12 @@ GRAM = 4
 WINDOW = 8
 CELLS = 1 << 16
 BLOCK = 136
-KEEP = None
+KEEP = re.compile("[^\\w￿]+|_+")
 SPANS = "key bigint, lo bigint, span int, tid bigint, first int, last int, n int"
 
 
 def comparable(texts: list[str | None]) -> list[str]:
     """Consistent form, lower case, letters and digits only; null counts as empty."""
-    import re
-
-    global KEEP
-    KEEP = KEEP or re.compile("[^\\w￿]+|_+")
     whole = "￿".join(x.replace("￿", "") if x else "" for x in skeletons(texts, compose=True))
     return KEEP.sub("", whole.lower()).split("￿") if texts else []
 
@@ -222,7 +218,8 @@ def _training_spans(counts: np.ndarray, piece_counts: np.ndarray, rate: Fraction
             c = Codes(b)
             row, at, span = chosen_spans(c, counts, rate)
             cell = _cell(c.hi[at], len(counts))
-            hot = counts[cell] > common
+            # Both ways are exact; in a long text common spans are few beside the others and go the plain way.
+            hot = (counts[cell] > common) & (c.n[row] <= BLOCK)
             if report:
                 longest = np.zeros(len(counts), np.int64)
                 np.maximum.at(longest, cell[hot], c.n[row[hot]])

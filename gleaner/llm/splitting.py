@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.tokens import FOLDER, VOCABULARY, encoder
 
-LINE = "\n\x0b\x0c\r\x85  "
+LINE = "\n\x0b\x0c\r\x85\u2028\u2029"
 MARK = f"(?:[{LINE}。！？｡!?]|\\.(?=\\s|\\Z))"
 BOUNDARIES = re.compile(f"{MARK}+")
 CLOSED = re.compile(f"(?:{MARK}[」』）】)\"'”’]*)+")
@@ -136,15 +136,15 @@ def pieces(t: Tokenised, enc, most: int, overlap: int) -> Iterator[tuple[int, in
         yield number, first, end, n, cut
 
 
-def _split(key: str, text: str, limits: list[tuple[str, int, int]], folder: str, vocabulary: str):
+def _split(limits: list[tuple[str, int, int]], folder: str, vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder, vocabulary)
         lengths = np.array([len(x) for x in map(enc.decode_single_token_bytes, range(enc.n_vocab))], np.int64)
         least = min((most for _, most, _ in limits), default=0)
         for b in batches:
             out: list[list] = [[] for _ in range(8)]
-            for k, x in enumerate(b.column(text).to_pylist()):
-                if x is None or len(x.encode()) <= least:
+            for k, x in enumerate(b.column("text").to_pylist()):
+                if len(x.encode()) <= least:
                     continue
                 t = Tokenised(x, enc, lengths)
                 for name, most, overlap in limits:
@@ -155,7 +155,7 @@ def _split(key: str, text: str, limits: list[tuple[str, int, int]], folder: str,
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
             names = ["limit_name", "piece", "start", "end", "n_tokens", "cut", "text"]
             arrays = [pa.array(o, t) for o, t in zip(out[1:], kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(out[0], pa.int64())), *arrays], [key, *names])
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(out[0], pa.int64())), *arrays], ["key", *names])
 
     return run
 
@@ -165,10 +165,13 @@ def split_texts(documents: DataFrame, key: str, text: str, limits: list[tuple[st
 
     Gives ``key, limit_name, piece, start, end, n_tokens, cut, text``; places are in characters of the
     whole text, ``cut`` is what the piece ends at: paragraph, line, sentence, hard or end. Each text is
-    tokenised once for all limits. No shuffle. Repeated keys give their pieces again.
+    tokenised once for all limits. No shuffle. Repeated keys give their pieces again, a null key passes,
+    other columns are left out. A key named like another output comes out as ``key``.
     """
+    named = "key" if f"{key} " in PIECES else key
     kind = dict(documents.dtypes)[key]
-    return documents.select(key, text).filter(F.col(text).isNotNull()).mapInArrow(_split(key, text, limits, folder, vocabulary), f"`{key}` {kind}, {PIECES}")
+    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null")
+    return rows.mapInArrow(_split(limits, folder, vocabulary), f"key {kind}, {PIECES}").withColumnRenamed("key", named)
 
 
 def _unbroken(limit: int):
@@ -191,4 +194,4 @@ def unbroken_texts(documents: DataFrame, key: str, text: str, limit: int) -> Dat
     """
     kind = dict(documents.dtypes)[key]
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") > limit)
-    return rows.mapInArrow(_unbroken(limit), f"key {kind}, stretch int").withColumnRenamed("key", key)
+    return rows.mapInArrow(_unbroken(limit), f"key {kind}, stretch int").withColumnRenamed("key", "key" if key == "stretch" else key)

@@ -46,9 +46,9 @@ def _sizes(text: str, output: str, folder: str, vocabulary: str, keep_text: bool
 def with_tokens(df: DataFrame, text: str = "text", output: str = "n_tokens", folder: str = FOLDER, vocabulary: str = VOCABULARY, keep_text: bool = True) -> DataFrame:
     """``df`` with the size of the whole ``text`` in tokens; null for a null text, 0 for an empty one.
 
-    With ``keep_text`` false the text itself is dropped, so that it isn't sent back from Python.
+    With ``keep_text`` false the text itself is dropped, so that it isn't sent back from Python. A
+    column that has the output's name is replaced.
     """
-    if output in df.columns:
-        raise ValueError(f"column exists already: {output}")
+    df = df.drop(output)
     fields = [f for f in df.schema.fields if keep_text or f.name != text]
     return df.mapInArrow(_sizes(text, output, folder, vocabulary, keep_text), T.StructType([*fields, T.StructField(output, T.IntegerType())]))
