@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -22,37 +22,44 @@ def point_sums(scores: DataFrame) -> DataFrame:
     return scores.groupBy("stratum", "system").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
 
 
-def resampled_sums(scores: DataFrame, replicates: int, seed: str = "boot", blocks: int = 64) -> DataFrame:
+def resampled_sums(scores: DataFrame, replicates: int, seed: str = "boot", block_rows: int = 50_000) -> DataFrame:
     """``stratum, replicate, system, num, den``: rows drawn with replacement within each stratum.
 
-    ``scores`` has ``stratum, id, system, num, den``. A stratum is cut by hash into blocks of rows. For
-    each replicate the blocks' shares of the draws come from one multinomial, which every task works
-    out from the block sizes and a seed, and a block spreads its share over its own rows by another;
-    together they are one multinomial over all rows, so multiplicities total the stratum's size. A
-    row has one multiplicity for all systems, so comparisons are paired. Blocks, not strata, are what
-    a task holds.
+    ``scores`` has ``stratum, id, system, num, den``. A stratum is cut by hash into blocks of bounded
+    size. For each replicate the blocks' shares of the draws come from one multinomial, which every
+    task works out from the block sizes and a seed, and a block spreads its share over its own rows by
+    another; together they are one multinomial over all rows, so multiplicities total the stratum's
+    size. A row has one multiplicity for all systems, so comparisons are paired. Blocks, not strata,
+    are what a task holds.
     """
-    rows = scores.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    held = scores.groupBy("stratum").agg(F.ceil(F.countDistinct("id") / block_rows).cast("int").alias("blocks"))
+    rows = scores.join(held, "stratum").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
     sizes = rows.groupBy("stratum", "block").agg(F.countDistinct("id").alias("n"))
-    shape = sizes.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("block", "n"))).alias("sizes"))
+    shape = sizes.groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct("block", "n"))).alias("sizes"))
     wide = rows.join(shape, "stratum")
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         stratum, block = str(pdf["stratum"].iloc[0]), int(pdf["block"].iloc[0])
-        by = dict(pdf["sizes"].iloc[0])
-        order = sorted(by)
-        p = np.array([by[b] for b in order], float)
-        ids = np.sort(pdf["id"].unique())
-        at = np.searchsorted(ids, pdf["id"])
-        key = [int.from_bytes((seed + stratum).encode()[-8:], "big")]
-        num, den = pdf["num"].to_numpy(float), pdf["den"].to_numpy(float)
-        systems, of = np.unique(pdf["system"].astype(str), return_inverse=True)
-        out = []
-        for r in range(replicates):
-            share = np.random.default_rng([*key, r]).multinomial(int(p.sum()), p / p.sum())[order.index(block)]
-            times = np.random.default_rng([*key, r, block + 1]).multinomial(share, np.full(len(ids), 1 / len(ids)))[at]
-            out.append(pd.DataFrame({"stratum": stratum, "replicate": r, "system": systems, "num": np.bincount(of, times * num, len(systems)), "den": np.bincount(of, times * den, len(systems))}))
-        return pd.concat(out)
+        by = {x["block"]: x["n"] for x in pdf["sizes"].iloc[0]}
+        key = zlib.crc32((seed + stratum).encode())
+        n = np.array(list(by.values()))
+        shares = np.random.default_rng(key).multinomial(n.sum(), n / n.sum(), size=replicates)[:, list(by).index(block)]
+        ids, at = np.unique(pdf["id"].to_numpy(str), return_inverse=True)
+        systems, of = np.unique(pdf["system"].to_numpy(str), return_inverse=True)
+        value = np.zeros((len(ids), 2 * len(systems)))
+        np.add.at(value, (at, of), pdf["num"].to_numpy(float))
+        np.add.at(value, (at, of + len(systems)), pdf["den"].to_numpy(float))
+        rng = np.random.default_rng([key, block + 1])
+        sums = np.vstack([rng.multinomial(s, np.full(len(ids), 1 / len(ids))) @ value for s in shares])
+        return pd.DataFrame(
+            {
+                "stratum": stratum,
+                "replicate": np.repeat(np.arange(replicates), len(systems)),
+                "system": np.tile(systems, replicates),
+                "num": sums[:, : len(systems)].ravel(),
+                "den": sums[:, len(systems) :].ravel(),
+            }
+        )
 
     parts = wide.groupBy("stratum", "block").applyInPandas(draw, DRAWS)
     return parts.groupBy("stratum", "replicate", "system").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
