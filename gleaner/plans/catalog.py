@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import runs, scores, selection
+from gleaner.plans import relations, runs, scores, selection, values
 
 FLAGSHIP = "rule03_cascade"
-MODULES = (selection, runs, scores)
+MODULES = (selection, relations, runs, scores, values)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
