@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import relations, runs, scores, selection, values
+from gleaner.plans import relations, reports, runs, scores, selection, values
 
 FLAGSHIP = "rule03_cascade"
-MODULES = (selection, relations, runs, scores, values)
+MODULES = (selection, relations, runs, scores, values, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
