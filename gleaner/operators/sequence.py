@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -42,18 +43,57 @@ def runs(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFr
     return marked.groupBy(*keys, "island").agg(F.first(value).alias(value), F.count("*").alias("n"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
 
 
-def running_total(df: DataFrame, order: list[str], value: str, output: str = "upto") -> DataFrame:
-    """A running sum over a global order without a single-task window.
+def running_total(df: DataFrame, order: list[str], value: str, output: str = "upto", keys: list[str] | None = None) -> DataFrame:
+    """A running sum over a global order, or over the order within each key, without a window of one task.
 
-    Rows are range-partitioned and written, each partition sums its own rows, and the totals of the
-    partitions before, one number for each partition, are added.
+    Rows are range-partitioned by key and order and written, each partition sums its own rows, and the
+    totals of the partitions before are added: one number for each partition, or for each partition and
+    key that meet, so a key with most of the rows is spread like any other.
     """
-    placed = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    keys = keys or []
+    placed = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
     placed = materialise(placed, "ranges")
-    totals = placed.groupBy("_part").agg(F.sum(value).alias("_total"))
-    before = totals.select("_part", F.coalesce(F.sum("_total").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.sum(value).over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return placed.withColumn(output, own).join(F.broadcast(before), "_part").withColumn(output, F.col(output) + F.col("_before")).drop("_part", "_before")
+    totals = placed.groupBy("_part", *keys).agg(F.sum(value).alias("_total"))
+    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select("_part", *keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    own = F.sum(value).over(W.partitionBy("_part", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    # Without keys there is one row for each partition.
+    joined = placed.withColumn(output, own).join(before if keys else F.broadcast(before), ["_part", *keys])
+    return joined.withColumn(output, F.col(output) + F.col("_before")).drop("_part", "_before")
+
+
+def ordered_digest(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """``keys, digest, n``: SHA-256 of each key's values in order, joined by line feeds.
+
+    The digest is a chain by definition, so a key's rows pass one task; they stream through it sorted,
+    and only the state of the digest is held.
+    """
+    kinds = dict(df.dtypes)
+    streamed = df.select(*keys, *order, F.coalesce(value, F.lit("")).alias("_value")).repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state, n = None, None, 0
+
+        def made() -> list:
+            return [] if state is None else [(*last, state.hexdigest(), n)]
+
+        names = [*keys, "digest", "n"]
+        for pdf in batches:
+            out = []
+            own = pdf[keys].astype(object).where(pdf[keys].notna(), None).apply(tuple, axis=1)
+            for key, lot in pdf["_value"].groupby((own != own.shift()).cumsum(), sort=False):
+                text = "\n".join(lot)
+                at = own.loc[lot.index[0]]
+                if state is not None and at == last:
+                    state.update(("\n" + text).encode())
+                else:
+                    out += made()
+                    last, state, n = at, hashlib.sha256(text.encode()), 0
+                n += len(lot)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(made(), columns=names)
+
+    return streamed.mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "digest string", "n bigint"]))
 
 
 def budget_prefix(df: DataFrame, order: list[str], value: str, budget: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleaner.operators import rows, sequence
+from gleaner.operators import guards, rows, sequence
 from gleaner.operators import statistics as st
 from gleaner.plans import selection
 from gleaner.plans.registry import Registry
@@ -116,11 +116,13 @@ def a25_steady_share(spark, sf):
     return d.groupBy("run_key").agg(st.ratio(F.sum(F.when(F.col("tag") == "sys/io_wait", F.col("value"))), F.sum(F.when(F.col("tag") == "train/loss", F.col("value")))).alias("share"))
 
 
-@query(f"""select source, split, sha256(string_agg(id, chr(10) order by id)) as digest, count(*) as n from {UTT} where split is not null group by 1, 2""")
-def x04_content_digest(spark, sf):
-    """A digest of a unit's ids; an output counts as complete if its digest is the input's."""
-    u = utterances(spark, sf, "id", "source", "split").filter("split is not null")
-    return u.groupBy("source", "split").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n"), 256).alias("digest"), F.count("*").alias("n"))
+@query("""with a as (select source, split, count(distinct id) as n, list_sort(list(distinct id)) as ids from selection where snap = 2 and split is not null group by 1, 2), b as (select source, split, count(distinct id) as n, list_sort(list(distinct id)) as ids from utt_index where split is not null group by 1, 2)
+ select source, split, a.n as n_a, b.n as n_b, a.ids is not distinct from b.ids as complete from a full join b using (source, split)""")
+def x04_content(spark, sf):
+    """Whether an output holds the ids of its input, unit by unit."""
+    a = table(spark, sf, "selection", "id", "source", "split", "snap").filter("snap = 2 and split is not null")
+    b = table(spark, sf, "utt_index", "id", "source", "split").filter("split is not null")
+    return guards.content_matches(a, b, ["source", "split"], "id")
 
 
 @query("""with a as (select source, split, count(distinct id) as n from selection where snap = 1 and split is not null group by 1, 2), b as (select source, split, count(distinct id) as n from utt_index where split is not null group by 1, 2)

@@ -139,8 +139,8 @@ def w07_exclusive_count(spark, sf):
 @query(f"select source, id, cast(coalesce(sum(n_tok) over (partition by source order by row_no rows between unbounded preceding and 1 preceding), 0) as bigint) as offset_ from {UTT}")
 def w08_offsets(spark, sf):
     """Running offsets with a leading 0."""
-    w = W.partitionBy("source").orderBy("row_no").rowsBetween(W.unboundedPreceding, -1)
-    return utterances(spark, sf, "source", "id", "row_no", "n_tok").select("source", "id", F.coalesce(F.sum("n_tok").over(w), F.lit(0)).cast("bigint").alias("offset_"))
+    upto = sequence.running_total(utterances(spark, sf, "source", "id", "row_no", "n_tok"), ["row_no"], "n_tok", keys=["source"])
+    return upto.select("source", "id", (F.col("upto") - F.col("n_tok")).cast("bigint").alias("offset_"))
 
 
 @query("""select row_no, id from (select row_no, id, audio_off, coalesce(lag(audio_off + audio_len) over (order by row_no), 0) as want from utt_index) where audio_off != want""")
@@ -192,8 +192,10 @@ def w27_periodic_tail(spark, sf):
 def w28_subsequence(spark, sf):
     """One list is another with items left out, in order; the lists are the paths of a manifest."""
     paths = table(spark, sf, "shard_manifest", "path", "source").distinct()
-    full = rows.numbered(paths.select("path").distinct(), [], [F.col("path")], "pos")
-    part = paths.filter("source != 'pod_nc'").join(full, "path", "left").withColumn("before", F.lag("pos").over(W.orderBy("path")))
+    count = lambda df, name: sequence.running_total(df.select("path", F.lit(1).alias("one")), ["path"], "one", name).drop("one")
+    part = count(paths.filter("source != 'pod_nc'"), "k").join(count(paths.select("path").distinct(), "pos"), "path", "left")
+    before = part.select((F.col("k") + 1).alias("k"), F.col("pos").alias("before"))
+    part = part.join(before, "k", "left")
     return part.agg(F.count("*").alias("n"), F.bool_and(F.expr("pos is not null and (before is null or pos > before)")).alias("is_subsequence"))
 
 

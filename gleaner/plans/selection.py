@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleaner.operators import rows
+from gleaner.operators import rows, sequence
 from gleaner.plans.registry import Registry
 from gleaner.session import table
 
@@ -313,8 +313,7 @@ def a06_summary(spark, sf):
 @query(f"select source, sha256(array_to_string(list(id order by row_no, id), chr(10))) as digest, count(*) as n from {UTT} group by source")
 def a32_id_digest(spark, sf):
     """One digest of the ids of a source in store order."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("row_no", "id"))), lambda x: x.id)
-    return utterances(spark, sf, "id", "source", "row_no").groupBy("source").agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("digest"), F.count("*").alias("n"))
+    return sequence.ordered_digest(utterances(spark, sf, "id", "source", "row_no"), ["source"], ["row_no", "id"], "id")
 
 
 @query("select coalesce(source, 'none') as source, count(*) filter (split = 'train') as train, count(*) filter (split = 'dev') as dev, count(*) filter (split = 'eval') as eval from utt_index group by 1")
@@ -330,9 +329,10 @@ def a33_pivot(spark, sf):
 def a30_pool_by_cap(spark, sf):
     """Hours a source would have, had it been cut at its first n inputs."""
     m = rows.first_rows(table(spark, sf, "shard_manifest"), ["path"], [F.col("n_hours").isNull(), -F.col("n_hours"), -F.col("n_rows")]).filter("split = 'train'")
-    m = rows.numbered(m, ["source"], [F.col("path")], "cap")
-    hours = F.sum(F.coalesce("n_hours", F.lit(0.0))).over(W.partitionBy("source").orderBy("cap"))
-    return m.select("source", "cap", F.round(hours, 6).alias("hours"))
+    m = m.select("source", "path", F.lit(1).cast("bigint").alias("one"), F.coalesce("n_hours", F.lit(0.0)).alias("h"))
+    m = sequence.running_total(m, ["path"], "one", "cap", ["source"]).drop("one")
+    m = sequence.running_total(m, ["path"], "h", "hours", ["source"])
+    return m.select("source", "cap", F.round("hours", 6).alias("hours"))
 
 
 @query("""select split, count(*) as n, round(avg(cast(n_tok as double)) / 20.0 - 1, 6) as drift, abs(avg(cast(n_tok as double)) / 20.0 - 1) > 0.05 as fires from utt_index where split is not null group by split""")

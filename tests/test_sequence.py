@@ -97,3 +97,21 @@ def test_within(spark):
     points = [(i, rng.randrange(1100)) for i in range(200)]
     got = s.within(spark.createDataFrame(points, "p int, x int"), spark.createDataFrame(spans, "s int, low int, high int"), [], "x", "low", "high", 16).collect()
     assert sorted((r.p, r.s) for r in got) == sorted((p, i) for p, x in points for i, a, b in spans if a <= x < b)
+
+
+def test_keyed_total_and_digest(spark, numbers):
+    import hashlib
+
+    rows, df = numbers
+    hot = df.unionByName(spark.range(3000).selectExpr("'hot' k", "cast(id as int) i", "1.0D x")).unionByName(spark.createDataFrame([(None, 1, 2.0)], df.schema))
+    got = {(r.k, r.i): r.upto for r in s.running_total(hot, ["i"], "x", keys=["k"]).collect()}
+    assert got["hot", 2999] == 3000.0
+    for k, own in by_key(rows).items():
+        total = 0.0
+        for i, x in own:
+            total += x
+            assert got[k, i] == pytest.approx(total)
+    text = hot.withColumn("t", F.concat("k", F.col("i").cast("string")))
+    digests = {r.k: (r.digest, r.n) for r in s.ordered_digest(text, ["k"], ["i"], "t").collect()}
+    assert digests["hot"] == (hashlib.sha256("\n".join(f"hot{i}" for i in range(3000)).encode()).hexdigest(), 3000)
+    assert digests[None][1] == 1 and len(digests) == 5
