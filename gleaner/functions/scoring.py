@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 # Fixed values.
 NUMERAL_KANJI = "〇零一二三四五六七八九十百千万億兆"
 STYLE_KINDS = ("numeral", "hira<->kata", "kanji->kana", "kana->kanji", "kana-other")
-SUBTITLE_PHRASES = ("ご視聴ありがとうございました", "ご覧いただきありがとうございます", "チャンネル登録", "字幕")
 BRACKETED = r"（[^）]*）|\([^)]*\)|\[[^\]]*\]|【[^】]*】"
 KANJI = r"[一-鿿㐀-䶿々〆]"
 
