@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from gleaner.llm.skeleton import skeletons
 from gleaner.session import materialise
 
-GRAM = 4
-WINDOW = 8
-CELLS = 1 << 16
-BLOCK = 136
+GRAM = 4  # characters that lead a suffix and place it in a partition; k + 1 disjoint ones fit any text of 15 characters or more
+WINDOW = 8  # characters of a suffix that are compared
+CELLS = 1 << 16  # into which gram counts are folded
+BLOCK = 136  # characters that one run of dynamic programming covers
 KEEP = re.compile("[^\\w￿]+|_+")
 SPANS = "key bigint, lo bigint, span int, tid bigint, first int, last int, n int"
 

@@ -55,7 +55,7 @@ def frozen_sample(arrived: DataFrame, rate: dict[str, Fraction], salt: str = "fr
         .select("kind", "batch", F.col("p").alias("limit"), (F.col("k") - F.col("upto") + F.col("n")).alias("left"))
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
     )
-    placed = hashed.withColumn("copy", F.pmod(F.crc32("id"), F.lit(COPIES)).cast("int")).join(limits, ["kind", "batch", "copy"]).filter("p <= limit")
+    placed = hashed.withColumn("copy", F.pmod(F.crc32(F.col("id").cast("string")), F.lit(COPIES)).cast("int")).join(limits, ["kind", "batch", "copy"]).filter("p <= limit")
     sure = placed.filter("p < limit").select("id", "kind", "batch")
     edge = placed.filter("p = limit").withColumn("rank", F.row_number().over(whole.orderBy("h", "id")))
     return sure.unionByName(edge.filter(F.col("rank") <= F.col("left")).select("id", "kind", "batch"))
