@@ -24,7 +24,7 @@ def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "
     query.awaitTermination()
 
 
-def upsert_last(stream: DataFrame, keys: list[str], order: str, values: list[str], target: str, checkpoint: str) -> int:
+def upsert_last(stream: DataFrame, keys: list[str], order: str, values: list[str], target: str, checkpoint: str, mode: str = "append") -> int:
     """The last value of each key, kept in a table that each micro-batch rewrites beside itself.
 
     A batch that is repeated after a crash gives the same table, as its version is the batch number.
@@ -41,7 +41,7 @@ def upsert_last(stream: DataFrame, keys: list[str], order: str, values: list[str
         last.write.mode("overwrite").parquet(f"{target}/v{number}")
         versions.append(number)
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return max(versions, default=-1)
 
 
