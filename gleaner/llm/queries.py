@@ -54,6 +54,10 @@ def p3_sample(spark: SparkSession, sf: str) -> DataFrame:
     return stable_sample.frozen_sample(stable_sample.arrivals(_sampled(spark, sf)), RATES)
 
 
+def p3_continued(spark: SparkSession, sf: str) -> DataFrame:
+    return stable_sample.continued_sample(_sampled(spark, sf), RATES, 3)
+
+
 def p3_drift(spark: SparkSession, sf: str) -> DataFrame:
     return stable_sample.sample_drift(_sampled(spark, sf), RATES)
 
@@ -128,7 +132,7 @@ def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_groups, p3_found, p3_sample, p3_drift, p4_found, p4_splits, p4_shares, p5_containers, p5_fill, p6_found, p6_mix, p6_shares, p7_found, p7_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_groups, p3_found, p3_sample, p3_continued, p3_drift, p4_found, p4_splits, p4_shares, p5_containers, p5_fill, p6_found, p6_mix, p6_shares, p7_found, p7_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:

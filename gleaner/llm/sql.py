@@ -29,6 +29,8 @@ SQL: dict[str, str] = {
     "p3_found": f"""with {MARKS}, g as (select id, kind, snap, bool_or(marked) as marked from k group by id, kind, snap)
  select a.id, a.kind, a.snap from g a where not a.marked and exists (select 1 from g b where b.id = a.id and b.kind = a.kind and b.snap < a.snap and b.marked)""",
     "p3_sample": f"with {MARKS}, {SAMPLED} select id, kind, batch from f",
+    "p3_continued": f"""with {MARKS}, {SAMPLED} select id, kind, 'new' as origin from f where batch = 3
+ union all select distinct id, kind, 'frozen' from s where snap = 3 and (id, kind) in (select (id, kind) from s where snap < 3 and marked)""",
     "p3_drift": f"""with {MARKS}, {SAMPLED}, d as (select distinct id, kind, true as is_marked from s where marked)
  select a.kind, a.batch, count(*) as n_members, count(f.id) as n_sample, count(is_marked) as n_marked, count(*) filter (f.id is not null and is_marked) as n_both
  from a left join f on f.id = a.id and f.kind = a.kind and f.batch = a.batch left join d on d.id = a.id and d.kind = a.kind group by a.kind, a.batch""",

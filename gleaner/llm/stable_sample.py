@@ -79,6 +79,18 @@ def lost_members(marks: DataFrame) -> DataFrame:
     return frozen_union(marks).filter("frozen and not marked").select("id", "kind", "snap")
 
 
+def continued_sample(marks: DataFrame, rate: dict[str, Fraction], snap: int, salt: str = "frozen") -> DataFrame:
+    """The sample of snapshot ``snap``: ``id, kind, origin``.
+
+    ``frozen`` are its members that an earlier snapshot marked, ``new`` the bottom-k of the batch that
+    arrives with it. Later snapshots are left out, so the sample of a snapshot never changes.
+    """
+    known = marks.filter(F.col("snap") <= snap)
+    frozen = frozen_union(known).filter((F.col("snap") == snap) & F.col("frozen")).select("id", "kind", F.lit("frozen").alias("origin"))
+    new = frozen_sample(arrivals(known).filter(F.col("batch") == snap), rate, salt).select("id", "kind", F.lit("new").alias("origin"))
+    return frozen.unionByName(new)
+
+
 def sample_drift(marks: DataFrame, rate: dict[str, Fraction], salt: str = "frozen") -> DataFrame:
     """Per kind and batch: size, wanted and frozen sample, and how many of it the snapshots mark."""
     arrived = arrivals(marks)

@@ -58,3 +58,12 @@ def test_lost_members(spark):
     assert sorted(map(tuple, s.lost_members(df).collect())) == [("a", "probe", 2), ("a", "probe", 3)]
     assert s.lost_members(snapshots(spark, [])).count() == 0
     assert {r.kind: r.n_marked for r in s.sample_drift(df, RATES).groupBy("kind").sum("n_marked").withColumnRenamed("sum(n_marked)", "n_marked").collect()} == {"probe": 4, "greedy": 0}
+
+
+def test_continued(spark):
+    one = [(f"r{i:03}", "probe", 1, i % 10 == 0) for i in range(100)]
+    two = one + [(f"r{i:03}", "probe", 2, None) for i in range(50, 250)]
+    df = snapshots(spark, two + [(f"r{i:03}", "probe", 3, True) for i in range(400)])
+    got = {(r.id, r.origin) for r in s.continued_sample(df, RATES, 2).collect()}
+    assert got == {(f"r{i:03}", "frozen") for i in range(50, 100, 10)} | {(i, "new") for i, _, b in expected(two) if b == 2}
+    assert s.continued_sample(df.limit(0), RATES, 2).count() == 0
