@@ -215,7 +215,7 @@ def w18_newest(spark, sf):
 def w32_preferred(spark, sf):
     """Of the rows of a recording the one that knows most, then the newest."""
     df = table(spark, sf, "recording").filter("media_key is not null")
-    order = [F.col("channel").isNull(), F.col("reupload_of").isNull(), -F.coalesce(F.unix_micros(F.col("published_at").cast("timestamp")), F.lit(-(1 << 62))), -F.coalesce("length_s", F.lit(-1e9)), F.coalesce("channel", F.lit("￿")), F.coalesce("source", F.lit("￿")), F.coalesce("reupload_of", F.lit("￿"))]
+    order = [F.col("channel").isNull(), F.col("reupload_of").isNull(), -F.coalesce(F.expr("timestampdiff(microsecond, timestamp_ntz '1970-01-01 00:00:00', published_at)"), F.lit(-(1 << 62))), -F.coalesce("length_s", F.lit(-1e9)), F.coalesce("channel", F.lit("￿")), F.coalesce("source", F.lit("￿")), F.coalesce("reupload_of", F.lit("￿"))]
     return rows.first_rows(df, ["media_key"], order).select("media_key", "source", "channel", "reupload_of")
 
 

@@ -73,9 +73,10 @@ def m06_loud_part(spark, sf):
 @query("select doc_id, cast(epoch(created_at) as double) as seconds, strftime(created_at, '%Y%m%dT%H%M%SZ') as stamp from documents where created_at is not null")
 def d01_time_parts(spark, sf):
     """Seconds since the epoch, and a stamp that is read back."""
-    d = table(spark, sf, "documents", "doc_id", "created_at").filter("created_at is not null").withColumn("t", F.col("created_at").cast("timestamp"))
-    stamp = F.date_format("t", "yyyyMMdd'T'HHmmss'Z'")
-    return d.select("doc_id", (F.unix_micros("t") / 1e6).alias("seconds"), stamp.alias("stamp"))
+    d = table(spark, sf, "documents", "doc_id", "created_at").filter("created_at is not null")
+    # Both without a zone, so that the session's doesn't matter.
+    micros = F.expr("timestampdiff(microsecond, timestamp_ntz '1970-01-01 00:00:00', created_at)")
+    return d.select("doc_id", (micros / 1e6).alias("seconds"), F.date_format("created_at", "yyyyMMdd'T'HHmmss'Z'").alias("stamp"))
 
 
 @query("""select run_key, tag, step from (select *, lag(step) over (partition by run_key, tag order by step) as before, lag(wall) over (partition by run_key, tag order by step) as then_ from (select * from run_scalar qualify row_number() over (partition by run_key, tag, step order by wall desc, elapsed_s desc, coalesce(value, 0) desc, coalesce(nf, '') desc) = 1) where run_key is not null and tag is not null and step is not null) where before is null or step - before >= 5 or wall - then_ >= 60""")
