@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, not once for each element that uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
 def log_sum_exp(logits: Column) -> Column:
-    top = F.array_max(logits)
-    return top + F.log(F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+    return let(F.array_max(logits), lambda top: top + F.log(total(F.transform(logits, lambda x: F.exp(x - top)))))
 
 
 def softmax(logits: Column) -> Column:
-    total = log_sum_exp(logits)
-    return F.transform(logits, lambda x: F.exp(x - total))
+    return let(log_sum_exp(logits), lambda whole: F.transform(logits, lambda x: F.exp(x - whole)))
 
 
 def divergence(p: Column, q: Column) -> Column:
     """Kullback-Leibler divergence of two arrays of probabilities; terms with p = 0 are 0."""
     terms = F.zip_with(p, q, lambda a, b: F.when(a <= 0, 0.0).otherwise(a * (F.log(a) - F.log(b))))
-    return F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
+    return total(terms)
 
 
 def top_with_rest(p: Column, q: Column, k: int) -> Column:
@@ -27,12 +36,15 @@ def top_with_rest(p: Column, q: Column, k: int) -> Column:
 
     Rounding may carry the kept mass above 1; the rest is then an empty bin.
     """
-    order = F.array_sort(F.transform(p, lambda x, i: F.struct((-x).alias("x"), i.alias("i"))))
-    kept = F.slice(order, 1, k)
-    at = lambda a: F.transform(kept, lambda e: F.get(a, e.i))
-    rest = lambda a: F.greatest(F.lit(0.0), 1.0 - F.aggregate(at(a), F.lit(0.0), lambda acc, x: acc + x))
-    tail = F.when(rest(p) <= 1e-12, 0.0).otherwise(rest(p) * (F.log(rest(p)) - F.log(F.greatest(rest(q), F.lit(1e-12)))))
-    return divergence(at(p), at(q)) + tail
+    pairs = F.array_sort(F.arrays_zip((F.transform(p, lambda x: -x)).alias("n"), p.alias("p"), q.alias("q")))
+
+    def over(kept: Column) -> Column:
+        ps, qs = F.transform(kept, lambda e: e.p), F.transform(kept, lambda e: e.q)
+        rest_p, rest_q = F.greatest(F.lit(0.0), 1.0 - total(ps)), F.greatest(F.lit(1e-12), 1.0 - total(qs))
+        tail = let(rest_p, lambda r: F.when(r <= 1e-12, 0.0).otherwise(r * (F.log(r) - F.log(rest_q))))
+        return divergence(ps, qs) + tail
+
+    return let(F.slice(pairs, 1, k), over)
 
 
 def schedule(step: Column, total: int, warm_up: int, cool_down: float, peak: float) -> Column:

@@ -28,8 +28,8 @@ def _distributions(spark, sf):
     e = table(spark, sf, "embeddings", "vec_id", "label", "embedding").withColumn("x", F.transform("embedding", lambda v: v.cast("double")))
     means = e.select("label", F.posexplode("x").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("a"))
     centres = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "a"))), lambda s: s.a).alias("centre"))
-    both = e.join(centres, "label")
-    return both.select("vec_id", "x", arrays.softmax(F.col("x")).alias("p"), arrays.softmax(F.col("centre")).alias("q"))
+    both = e.join(centres.withColumn("q", arrays.softmax(F.col("centre"))), "label")
+    return both.select("vec_id", arrays.softmax(F.col("x")).alias("p"), "q")
 
 
 @query(EMB + "select vec_id, round(list_sum(list_transform(range(1, 65), lambda i: exp(cast(embedding[i] as double) - m) / z * (cast(embedding[i] as double) - m - ln(z) - (centre[i] - cm - ln(cs))))), 6) as kl from z join cz using (label)")

@@ -54,6 +54,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A plain scan in at least as many partitions as half the cores, for costly work on each row.
+
+    Only a small input, in fewer files and splits than that, is shuffled; a large one has enough.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
