@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import group_split, mixing, overlap, packing, skeleton, splitting, stable_sample
 from gleaner.llm.tokens import with_tokens
-from gleaner.session import materialise, table
+from gleaner.session import materialise, spread, table
 
 RATES = {"probe": Fraction(1, 50), "greedy": Fraction(1, 10)}
 
@@ -89,7 +89,7 @@ def _limits(spark: SparkSession, sf: str, kind: str) -> list[tuple[str, int, int
 
 
 def _packed(spark: SparkSession, sf: str) -> list[tuple[str, int, DataFrame]]:
-    sizes = materialise(with_tokens(table(spark, sf, "documents", "doc_id", "text"), keep_text=False), "tokens")
+    sizes = materialise(with_tokens(spread(table(spark, sf, "documents", "doc_id", "text")), keep_text=False), "tokens")
     return [(name, most, packing.pack(sizes, "doc_id", "n_tokens", most)) for name, most, _ in _limits(spark, sf, "pack_")]
 
 
@@ -109,7 +109,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    sizes = materialise(with_tokens(table(spark, sf, "documents", "doc_id", "source", "text"), keep_text=False), "tokens")
+    sizes = materialise(with_tokens(spread(table(spark, sf, "documents", "doc_id", "source", "text")), keep_text=False), "tokens")
     plan = mixing.mixing_plan(sizes, table(spark, sf, "mix_target"), "n_tokens")
     return mixing.replicate(sizes, plan, "doc_id"), plan
 
@@ -128,7 +128,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    return splitting.split_texts(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", _limits(spark, sf, "piece_"))
+    return splitting.split_texts(spread(table(spark, sf, "documents", "doc_id", "text")), "doc_id", "text", _limits(spark, sf, "piece_"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
