@@ -168,3 +168,19 @@ def with_style(df: DataFrame) -> DataFrame:
     style = F.filter("regions", lambda r: region_kind(r.ref, r.hyp).isin(*STYLE_KINDS))
     total = F.aggregate(style, F.lit(0), lambda acc, r: acc + r.edits)
     return df.withColumn("edits_style", total).withColumn("edits_nostyle", F.col("edits") - F.col("edits_style"))
+
+
+def ensure_scores(df: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """``df`` with its scores, worked out from the texts only where it doesn't have them."""
+    return df if {"edits", "ref_len", "hyp_len"} <= set(df.columns) else with_style(with_scores(df, ref, hyp))
+
+
+def piece_text(piece: Column) -> Column:
+    """The text of a word piece: its marker is a blank, and a byte piece a placeholder of one character."""
+    return F.when(piece.rlike("^<0x[0-9A-Fa-f]{2}>$"), F.lit("�")).otherwise(F.replace(piece, F.lit("▁"), F.lit(" ")))
+
+
+def piece_spans(pieces: Column) -> Column:
+    """``start, end`` of each piece in the joined text, from running lengths."""
+    size = lambda upto: F.aggregate(F.slice(pieces, F.lit(1), upto), F.lit(0), lambda acc, p: acc + F.length(piece_text(p)))
+    return F.transform(pieces, lambda p, i: F.struct(size(i).alias("start"), (size(i) + F.length(piece_text(p))).alias("end")))

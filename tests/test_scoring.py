@@ -59,3 +59,21 @@ def test_scores(spark):
 @pytest.mark.parametrize("text,want", [("Ａｂ、c_1！", "abc_1"), (None, ""), ("ｶﾞ ①", "ガ1")])
 def test_normal_form(text, want):
     assert sc.normal_form(text) == want
+
+
+def test_pieces_and_lazy_scores(spark):
+    df = spark.createDataFrame([(["▁今日", "は", "<0xE3>", "▁"],), ([],)], "p array<string>")
+    got = df.select(F.transform("p", sc.piece_text).alias("t"), sc.piece_spans(F.col("p")).alias("s")).collect()
+    assert got[0].t == [" 今日", "は", "�", " "] and [tuple(x) for x in got[0].s] == [(0, 3), (3, 4), (4, 5), (5, 6)] and got[1].s == []
+    scored = sc.ensure_scores(spark.createDataFrame([("あ", "い")], "ref string, hyp string"))
+    assert scored.first().edits == 1 and sc.ensure_scores(scored) is scored
+
+
+def test_ticks():
+    from gleaner.functions import ticks
+
+    assert ticks.linear(0, 10) == [0, 2, 4, 6, 8, 10] and ticks.linear(0.13, 0.31)[0] == 0.14 and ticks.linear(3, 3) == [3]
+    assert all(len(ticks.linear(0, x)) <= 8 for x in (0.7, 1, 3, 9, 99, 1234))
+    assert ticks.logarithmic(1, 50) == [1, 2, 5, 10, 20, 50]
+    with pytest.raises(ValueError):
+        ticks.logarithmic(0, 1)
