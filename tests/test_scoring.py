@@ -72,7 +72,7 @@ def test_pieces_and_lazy_scores(spark):
 def test_ticks():
     from gleaner.functions import ticks
 
-    assert ticks.linear(0, 10) == [0, 2, 4, 6, 8, 10] and ticks.linear(0.13, 0.31)[0] == 0.14 and ticks.linear(3, 3) == [3]
+    assert ticks.linear(0, 10) == [0, 2, 4, 6, 8, 10] and ticks.linear(0.13, 0.31)[0] == 0.15 and ticks.linear(3, 3) == [3]
     assert all(len(ticks.linear(0, x)) <= 8 for x in (0.7, 1, 3, 9, 99, 1234))
     assert ticks.logarithmic(1, 50) == [1, 2, 5, 10, 20, 50]
     with pytest.raises(ValueError):
