@@ -64,25 +64,26 @@ def connected_groups(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = materialise(
         links.join(degrees, "entity").select("record", "entity", parts.alias("parts"), F.pmod(F.xxhash64("record"), parts).cast("int").alias("part")), "edges"
     )
+    # Labels are written compressed, so their file size would let the planner broadcast far more than it means to.
     labels = materialise(edges.groupBy("record").agg(F.col("record").alias("label")), "labels")
     for _ in range(max_rounds):
-        known = edges.join(labels, "record")
+        known = edges.join(labels.hint("merge"), "record")
         least = known.groupBy("entity").agg(F.min("label").alias("least"), F.max("parts").alias("parts"))
         least = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        moved = known.join(least, ["entity", "part"])
+        moved = known.join(least.hint("merge"), ["entity", "part"])
         offers = moved.select(F.explode(F.array(F.struct("record", "least"), F.struct(F.col("label").alias("record"), "least"))).alias("o")).select("o.*")
         hooked = offers.groupBy("record").agg(F.min("least").alias("label"))
         onward = hooked.select(F.col("record").alias("label"), F.col("label").alias("next"))
-        stepped = hooked.join(onward, "label", "left").select("record", F.least("label", "next").alias("label"))
+        stepped = hooked.join(onward.hint("merge"), "label", "left").select("record", F.least("label", "next").alias("label"))
         new = materialise(stepped, "labels")
-        changed = new.join(labels.withColumnRenamed("label", "old"), "record").filter("label != old").limit(1).count()
+        changed = new.join(labels.withColumnRenamed("label", "old").hint("merge"), "record").filter("label != old").limit(1).count()
         discard(labels)
         labels = new
         if not changed:
             break
     else:
         raise RuntimeError(f"labels still change after {max_rounds} rounds")
-    alone = links.select("record").distinct().join(labels, "record", "left")
+    alone = links.select("record").distinct().join(labels.hint("merge"), "record", "left")
     return alone.select("record", F.coalesce("label", "record").alias("group"))
 
 
