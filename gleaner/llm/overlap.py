@@ -30,6 +30,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,7 @@ from gleaner.session import materialise
 GRAM = 4  # characters that lead a suffix and place it in a partition; k + 1 disjoint ones fit any text of 15 characters or more
 WINDOW = 8  # characters of a suffix that are compared
 CELLS = 1 << 16  # into which gram counts are folded
+LOT = 2_000  # texts of one length that are placed at once
 BLOCK = 136  # characters that one run of dynamic programming covers
 KEEP = re.compile("[^\\w￿]+|_+")
 SPANS = "key bigint, lo bigint, span int, tid bigint, first int, last int, n int"
@@ -60,6 +62,16 @@ def _normalise(min_len: int):
     return run
 
 
+def portions(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` characters, so that long texts don't swell the arrays."""
+    for b in batches:
+        upto = np.cumsum(pc.fill_null(pc.utf8_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(upto // most)) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts, cuts[1:]):
+            if j > i:
+                yield b.slice(i, j - i)
+
+
 class Codes:
     """The characters of a batch of texts in one flat array, with packed grams at every position."""
 
@@ -100,7 +112,7 @@ def _count_cells(cells: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * cells, np.int64)
-        for b in batches:
+        for b in portions(batches):
             c = Codes(b)
             for gram, codes, base in ((GRAM, c.hi, 0), (2, c.pair, cells)):
                 _, p = c.starts(gram)
@@ -160,13 +172,14 @@ def chosen_spans(c: Codes, counts: np.ndarray, rate: Fraction) -> tuple[np.ndarr
     out_row, out_at = [], []
     for length in np.unique(lens):
         spans = int(edits_allowed(length, rate)) + 1
-        mine = np.flatnonzero(lens == length)
         if length < GRAM * spans:
             raise ValueError(f"texts of {length} characters are too short for spans of {GRAM} at this rate")
-        base = c.at[rows[mine]] + offs[mine]
-        grid = base[None, :] + np.arange(length - GRAM + 1)[:, None]
-        starts = cheapest_starts(counts[_cell(c.hi[grid], len(counts))], spans, GRAM)
-        out_row.append(np.tile(rows[mine], spans)), out_at.append((base[None, :] + starts).ravel())
+        alike = np.flatnonzero(lens == length)
+        for mine in np.array_split(alike, -(-len(alike) // LOT)):
+            base = c.at[rows[mine]] + offs[mine]
+            grid = base[None, :] + np.arange(length - GRAM + 1)[:, None]
+            starts = cheapest_starts(counts[_cell(c.hi[grid], len(counts))], spans, GRAM)
+            out_row.append(np.tile(rows[mine], spans)), out_at.append((base[None, :] + starts).ravel())
     if not out_row:
         return (np.zeros(0, np.int64),) * 3
     row, at = np.concatenate(out_row), np.concatenate(out_at)
@@ -214,7 +227,7 @@ def _training_spans(counts: np.ndarray, piece_counts: np.ndarray, rate: Fraction
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             c = Codes(b)
             row, at, span = chosen_spans(c, counts, rate)
             cell = _cell(c.hi[at], len(counts))
@@ -246,7 +259,7 @@ def _held_out_spans(wanted: np.ndarray, rate: Fraction):
     """All suffixes of the held-out texts; beside a wanted common gram also each piece of the remainder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             c = Codes(b)
             row, at = c.starts(GRAM)
             parts = [(row, at, at, c.hi[at], c.lo[at], np.full(len(row), GRAM))]

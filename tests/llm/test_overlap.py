@@ -118,3 +118,12 @@ def test_report(spark):
     report = o.overlap_report(o.cross_split_pairs(df), df).collect()
     assert sum(r.n_overlapping for r in report) == len({a for a, _ in brute(rows)})
     assert sum(r.n_records for r in report) == sum(r[1] != "train" for r in rows)
+
+
+def test_portions():
+    import pyarrow as pa
+
+    texts = ["a" * 10, None, "b" * 2000, "", "c" * 5, "d" * 990]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    parts = list(o.portions(iter([batch, batch.slice(0, 0)]), 1000))
+    assert [x for p in parts for x in p.column("text").to_pylist()] == texts and len(parts) > 1
