@@ -2,8 +2,9 @@
 
 Method: a suffix array over the texts, partitioned by the leading characters of the suffixes. Within
 a partition suffixes lie sorted, and neighbours from different splits with a long enough common
-prefix reveal a shared span; the spans are merged into the coverage of each pair of records, and an
-exact edit distance decides.
+prefix reveal a shared span, and an exact edit distance decides. In the pairs it leaves, all common
+runs of ``GRAM`` or more characters, wherever they stand, are merged into the coverage of the held-out
+record: by one partner for a pair, by all its partners for the report.
 
 The array is sparse on the training side, and still loses no pair. A training text of ``n``
 characters within the wanted distance of a partner differs from it by at most
@@ -31,8 +32,9 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.llm.skeleton import skeletons
 from gleaner.session import materialise
@@ -295,11 +297,10 @@ def distinct_texts(records: DataFrame) -> DataFrame:
 
 
 def shared_spans(texts: DataFrame, rate: Fraction = Fraction(15, 100), cells: int = CELLS, floor: int = 64) -> DataFrame:
-    """Pairs of texts across the split that share a span in place: ``tid_held, tid_train, covered``.
+    """Pairs of texts across the split that share a span in place: ``tid_held, tid_train``, each once.
 
-    ``covered`` is the share of the training text's characters that lies in its spans found in the
-    partner. Every pair within ``rate`` is among the pairs. ``cells`` and ``floor`` (least count of a
-    common gram) bear on speed only.
+    Every pair within ``rate`` is among the pairs. ``cells`` and ``floor`` (least count of a common
+    gram) bear on speed only.
     """
     texts = texts.select("tid", "text", "in_train", "in_held_out")
     held = texts.filter("in_held_out").select("tid", "text")
@@ -317,11 +318,31 @@ def shared_spans(texts: DataFrame, rate: Fraction = Fraction(15, 100), cells: in
         & (F.col("first") <= F.col("last_b") + most)
         & (F.col("last") >= F.col("first_b") - most)
     )
-    return a.join(b, "key").filter(near).groupBy("tid_held", F.col("tid").alias("tid_train")).agg(F.least(F.lit(1.0), F.sum("span") / F.max("n")).alias("covered"))
+    return a.join(b, "key").filter(near).select("tid_held", F.col("tid").alias("tid_train")).distinct()
+
+
+def common_runs(text: str, partner: str) -> list[tuple[int, int]]:
+    """Start and end in ``text`` of the stretches made up of runs of ``GRAM`` or more characters that ``partner`` has too.
+
+    A run of that length is the union of its grams, so merging the grams found gives the full runs.
+    """
+    grams = {partner[j : j + GRAM] for j in range(len(partner) - GRAM + 1)}
+    out: list[tuple[int, int]] = []
+    for i in range(len(text) - GRAM + 1):
+        if text[i : i + GRAM] in grams:
+            joins = out and i <= out[-1][1]
+            out.append((out.pop()[0] if joins else i, i + GRAM))
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType())])))
+def _runs(text: pa.Array, partner: pa.Array) -> pa.Array:
+    runs = [[{"low": i, "high": j} for i, j in common_runs(a, b)] for a, b in zip(text.to_pylist(), partner.to_pylist())]
+    return pa.array(runs, pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))
 
 
 def near_texts(texts: DataFrame, rate: Fraction = Fraction(15, 100), **tuning: int) -> DataFrame:
-    """Pairs of texts across the split within ``rate``: both texts, ``edits`` and ``covered``."""
+    """Pairs of texts across the split within ``rate``: both texts, ``edits`` and ``runs``, the stretches of the held-out text that the other has."""
     pairs = shared_spans(texts, rate, **tuning)
     one = texts.filter("in_held_out").select(F.col("tid").alias("tid_held"), F.col("text").alias("text_held"))
     two = texts.filter("in_train").select(F.col("tid").alias("tid_train"), F.col("text").alias("text_train"))
@@ -331,7 +352,7 @@ def near_texts(texts: DataFrame, rate: Fraction = Fraction(15, 100), **tuning: i
         .join(two, "tid_train")
         .withColumn("edits", F.levenshtein("text_held", "text_train"))
         .filter(F.col("edits") * rate.denominator <= longer * rate.numerator)
-        .select("text_held", "text_train", "edits", "covered")
+        .select("text_held", "text_train", "edits", _runs("text_held", "text_train").alias("runs"))
     )
 
 
@@ -347,25 +368,50 @@ def held_out_records(utterances: DataFrame, min_len: int = 15) -> DataFrame:
 
 
 def cross_split_pairs(utterances: DataFrame, rate: Fraction = Fraction(15, 100), min_len: int = 15, **tuning: int) -> DataFrame:
-    """Pairs of a held-out and a training record: ``id_held, id_train, edits, covered``, each once.
+    """Pairs of a held-out and a training record, each once: ``id_held, id_train, edits, covered, text, n, runs``.
 
-    Empty input gives an empty result; repeated rows of an id count once; an id that stands on both
+    ``covered`` is the share of the held-out text's ``n`` characters that lies in ``runs``, the merged
+    stretches it has in common with the training text; ``text`` is a hash of it. Of an id stored with
+    several texts the nearest counts. Empty input gives an empty result; repeated rows of an id count once; an id that stands on both
     sides is not paired with itself.
     """
     records = materialise(held_out_records(utterances, min_len), "records")
     texts = materialise(distinct_texts(records), "texts")
     near = near_texts(texts, rate, **tuning)
     # Two hashes, 96 bits in all, stand for the text, so that no text travels to be joined with its ids.
-    marked = near.select(*(f(c).alias(f"{h}_{c}") for c in ("text_held", "text_train") for h, f in (("a", F.xxhash64), ("b", F.hash))), "edits", "covered")
+    marked = near.select(*(f(c).alias(f"{h}_{c}") for c in ("text_held", "text_train") for h, f in (("a", F.xxhash64), ("b", F.hash))), "edits", F.length("text_held").alias("n"), "runs")
     ids = lambda side: (F.xxhash64("text").alias(f"a_text_{side}"), F.hash("text").alias(f"b_text_{side}"), F.col("id").alias(f"id_{side}"))
     pairs = marked.join(records.filter("held_out").select(*ids("held")), ["a_text_held", "b_text_held"])
     pairs = pairs.join(records.filter("not held_out").select(*ids("train")), ["a_text_train", "b_text_train"]).filter("id_held != id_train")
-    return pairs.select("id_held", "id_train", "edits", "covered").distinct()
+    # Without the columns of the text, as for the ids alone, the planner leaves out the runs altogether.
+    best = F.min(F.struct("edits", F.col("a_text_held").alias("text"), "n", "runs"))
+    pairs = pairs.groupBy("id_held", "id_train").agg(best.alias("best")).select("id_held", "id_train", "best.*")
+    covered = F.aggregate("runs", F.lit(0), lambda total, x: total + x["high"] - x["low"]) / F.col("n")
+    return pairs.select("id_held", "id_train", "edits", covered.alias("covered"), "text", "n", "runs")
+
+
+def covered_records(pairs: DataFrame) -> DataFrame:
+    """``id, edits, covered`` of each held-out record: its nearest partner's edits, and the share of its text that any partner has.
+
+    The runs of all partners are merged as intervals; a place that several partners have counts once.
+    Of an id stored with several texts the best values count.
+    """
+    runs = pairs.select("id_held", "text", "n", "edits", F.explode_outer("runs").alias("run")).select("id_held", "text", "n", "edits", "run.*")
+    runs = runs.groupBy("id_held", "text", "low", "high").agg(F.min("edits").alias("edits"), F.max("n").alias("n"))
+    before = Window.partitionBy("id_held", "text").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.coalesce(F.max("high").over(before), F.lit(0))
+    fresh = F.greatest(F.lit(0), F.col("high") - F.greatest("low", upto))
+    each = runs.withColumn("fresh", fresh).groupBy("id_held", "text").agg(F.min("edits").alias("edits"), (F.sum("fresh") / F.max("n")).alias("covered"))
+    return each.groupBy(F.col("id_held").alias("id")).agg(F.min("edits").alias("edits"), F.max("covered").alias("covered"))
 
 
 def overlap_report(pairs: DataFrame, utterances: DataFrame) -> DataFrame:
-    """Per held-out split and source: records, those that stand in training, exactly or at all, and their share."""
-    best = pairs.groupBy(F.col("id_held").alias("id")).agg(F.min("edits").alias("edits"), F.max("covered").alias("covered"))
+    """Per held-out split and source: records, those that stand in training, exactly or at all, and their share.
+
+    ``mean_covered`` is the mean over those that stand in training of the share of their text that lies
+    in runs of ``GRAM`` or more characters of their partners.
+    """
+    best = covered_records(pairs)
     held = utterances.filter("split in ('dev', 'eval')").groupBy("id").agg(F.max("split").alias("split"), F.max("source").alias("source"))
     return (
         held.join(best, "id", "left")

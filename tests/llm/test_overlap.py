@@ -120,6 +120,48 @@ def test_report(spark):
     assert sum(r.n_records for r in report) == sum(r[1] != "train" for r in rows)
 
 
+def brute_covered(text, partners):
+    """Places of ``text`` in a run of four or more that a partner has, each run extended as far as it goes."""
+    held = set()
+    for partner in partners:
+        for i in range(len(text)):
+            for j in range(len(partner)):
+                n = 0
+                while i + n < len(text) and j + n < len(partner) and text[i + n] == partner[j + n]:
+                    n += 1
+                if n >= 4:
+                    held.update(range(i, i + n))
+    return len(held) / len(text)
+
+
+def test_coverage_of_pairs_and_records(spark):
+    letters = [chr(c) for c in range(0x4E00, 0x4E40)]
+    for rows, tuning in ((corpus(7, letters, "", 40), {}), (corpus(8, list("abcdefghij"), "られたらしい", 40), {"floor": 1, "cells": 1 << 10})):
+        texts = {i: o.comparable([r])[0] for i, _, r, _ in rows}
+        pairs = o.cross_split_pairs(spark.createDataFrame(rows, "id string, split string, ref string, hyp string"), **tuning)
+        got, partners = pairs.collect(), {}
+        assert got
+        for r in got:
+            partners.setdefault(r.id_held, []).append(texts[r.id_train])
+            assert abs(r.covered - brute_covered(texts[r.id_held], [texts[r.id_train]])) < 1e-9
+            assert r.edits or r.covered == 1.0
+        records = {r.id: r.covered for r in o.covered_records(pairs).collect()}
+        assert records.keys() == partners.keys()
+        assert all(abs(records[i] - brute_covered(texts[i], partners[i])) < 1e-9 for i in records)
+
+
+def test_report_merges_the_runs_of_all_partners(spark):
+    a, b, c = ("".join(chr(0x4E00 + 100 * k + i) for i in range(40)) for k in range(3))
+    rows = [
+        ("t1", "train", a), ("copy", "dev", a), ("t2", "train", "零一二三" + b[4:]), ("t3", "train", b[:36] + "零一二三"), ("both", "eval", b),
+        ("t4", "train", c[:10] + "零" + c[11:13] + "一" + c[14:]), ("one", "dev", c), ("none", "dev", c[::-1]),
+    ]
+    df = spark.createDataFrame([(i, s, r, None, i) for i, s, r in rows], "id string, split string, ref string, hyp string, source string")
+    pairs = o.cross_split_pairs(df)
+    assert {(r.id_held, r.id_train): r.covered for r in pairs.collect()} == {("copy", "t1"): 1.0, ("both", "t2"): 0.9, ("both", "t3"): 0.9, ("one", "t4"): 0.9}
+    assert {r.source: r.mean_covered for r in o.overlap_report(pairs, df).collect()} == {"copy": 1.0, "both": 1.0, "one": 0.9, "none": None}
+
+
 def test_portions():
     import pyarrow as pa
 
