@@ -1,16 +1,19 @@
 """Records of evaluation splits that also stand, exactly or almost, in training (problem 1).
 
-Method: a suffix array over the texts, partitioned by the leading characters of the suffixes. Within
-a partition suffixes lie sorted, and neighbours from different splits with a long enough common
-prefix reveal a shared span, and an exact edit distance decides. In the pairs it leaves, all common
+Method: a pigeonhole join on grams in place of the suffix array the problem names. Spans of four to
+eight characters of training texts are joined by equality with the spans of evaluation texts; no
+suffix is sorted, no neighbours are compared, no common prefix is measured. A sorted array shows long
+shared spans between neighbours, but two short texts within the distance may share runs of five
+characters at most: all suffixes with equal leading characters would have to be compared, not only
+neighbours, and that is the join. An exact edit distance decides. In the pairs it leaves, all common
 runs of ``GRAM`` or more characters, wherever they stand, are merged into the coverage of the held-out
 record: by one partner for a pair, by all its partners for the report.
 
-The array is sparse on the training side, and still loses no pair. A training text of ``n``
+The index is sparse on the training side, and still loses no pair. A training text of ``n``
 characters within the wanted distance of a partner differs from it by at most
 ``k = floor(rate * n / (1 - rate))`` edits, so of any ``k + 1`` disjoint spans of it at least one
-stands unchanged in the partner, moved by at most ``k``. Only the suffixes at ``k + 1`` chosen starts are
-therefore taken from training texts, and all suffixes from evaluation texts.
+stands unchanged in the partner, moved by at most ``k``. Only the spans at ``k + 1`` chosen starts are
+therefore taken from training texts, and those at all places from evaluation texts.
 
 The starts are chosen by dynamic programming so that spans common in evaluation texts (sentence
 endings, fillers) are avoided. What is common is read from a count of all leading grams of the
@@ -39,8 +42,8 @@ from pyspark.sql import types as T
 from gleaner.llm.skeleton import skeletons
 from gleaner.session import materialise
 
-GRAM = 4  # characters that lead a suffix and place it in a partition; k + 1 disjoint ones fit any text of 15 characters or more
-WINDOW = 8  # characters of a suffix that are compared
+GRAM = 4  # characters of a span that are the join key; k + 1 disjoint ones fit any text of 15 characters or more
+WINDOW = 8  # characters of a span that are compared
 CELLS = 1 << 16  # into which gram counts are folded
 LOT = 2_000  # texts of one length that are placed at once
 BLOCK = 136  # characters that one run of dynamic programming covers
@@ -223,7 +226,7 @@ def _with_piece(hi: np.ndarray, piece: np.ndarray) -> np.ndarray:
 
 
 def _training_spans(counts: np.ndarray, piece_counts: np.ndarray, rate: Fraction, common: int, report: bool):
-    """Suffixes of training texts at the chosen starts; common ones with pieces of the remainder.
+    """Spans of training texts at the chosen starts; common ones with pieces of the remainder.
 
     With ``report`` only the cells of the common grams that were chosen, with the longest such text.
     """
@@ -258,7 +261,7 @@ def _training_spans(counts: np.ndarray, piece_counts: np.ndarray, rate: Fraction
 
 
 def _held_out_spans(wanted: np.ndarray, rate: Fraction):
-    """All suffixes of the held-out texts; beside a wanted common gram also each piece of the remainder."""
+    """The spans at all places of the held-out texts; beside a wanted common gram also each piece of the remainder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
