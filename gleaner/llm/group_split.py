@@ -39,7 +39,10 @@ def recording_of(record: Column, media_key: Column) -> Column:
 
 
 def recording_links(recordings: DataFrame) -> DataFrame:
-    """``record, entity``: each recording with its own key, its parent's key and its channel as entities."""
+    """``record, entity``: each recording with its own key, its parent's key and its channel as entities.
+
+    A parent is a record with its own key too, listed or not, so that its utterances join the group.
+    """
     channel = fold_name(F.col("channel"))
     known = channel.isNotNull() & ~channel.isin(*NO_CHANNEL)
     entities = F.array_compact(
@@ -49,7 +52,9 @@ def recording_links(recordings: DataFrame) -> DataFrame:
             F.when(known, F.concat(F.lit("c:"), channel)),
         )
     )
-    return recordings.filter("media_key is not null").select(F.col("media_key").alias("record"), F.explode(entities).alias("entity")).distinct()
+    listed = recordings.filter("media_key is not null").select(F.col("media_key").alias("record"), F.explode(entities).alias("entity"))
+    parents = recordings.filter("media_key is not null and length(reupload_of) > 0").select(F.col("reupload_of").alias("record"), F.concat(F.lit("r:"), "reupload_of").alias("entity"))
+    return listed.unionByName(parents).distinct()
 
 
 def connected_groups(links: DataFrame, max_rounds: int = 60) -> DataFrame:

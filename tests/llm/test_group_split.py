@@ -90,3 +90,12 @@ def test_assignment(spark):
     again = g.assign_splits(df.repartition(7).orderBy(F.rand()), targets).collect()
     assert {r.group: r.new_split for r in again} == split
     assert g.assign_splits(df.limit(0), targets).count() == 0
+
+
+def test_parent_that_is_not_listed(spark):
+    recordings = spark.createDataFrame([("child", None, "parent"), ("other", None, None), ("last", None, "")], "media_key string, channel string, reupload_of string")
+    rows = [("s/1", "s", "train", "parent"), ("s/2", "s", "dev", "child"), ("s/3", "s", "eval", "other"), ("s/4", "s", "train", "last")]
+    utterances = spark.createDataFrame(rows, "id string, source string, split string, media_key string")
+    assert {r.id for r in g.split_leaks(utterances, recordings).collect()} == {"s/2"}
+    groups = {r.id: r.group for r in g.utterance_groups(utterances, recordings).collect()}
+    assert groups["s/1"] == groups["s/2"] and len(set(groups.values())) == 3
