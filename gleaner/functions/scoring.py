@@ -72,6 +72,47 @@ def alignment(ref: str, hyp: str) -> list[tuple[str, int, int]]:
     return steps[::-1]
 
 
+def matching_runs(ref: str, hyp: str) -> list[tuple[int, int, int]]:
+    """Equal runs ``(place in ref, place in hyp, length)`` of one longest common subsequence.
+
+    That is an alignment by insertions and deletions alone. A bit row for each character of hyp tells
+    where the subsequence grows; walking back along them gives the matches.
+    """
+    lead = 0
+    while lead < min(len(ref), len(hyp)) and ref[lead] == hyp[lead]:
+        lead += 1
+    tail = 0
+    while tail < min(len(ref), len(hyp)) - lead and ref[-1 - tail] == hyp[-1 - tail]:
+        tail += 1
+    i, j = len(ref) - lead - tail, len(hyp) - lead - tail
+    masks: dict[str, int] = {}
+    for k in range(i):
+        masks[ref[lead + k]] = masks.get(ref[lead + k], 0) | 1 << k
+    full = (1 << i) - 1
+    still, rows = full, []
+    for c in hyp[lead : lead + j]:
+        both = still & masks.get(c, 0)
+        still = ((still + both) | (still - both)) & full
+        rows.append(still)
+    matches = [(len(ref) - k, len(hyp) - k) for k in range(1, tail + 1)]
+    while i and j:
+        if rows[j - 1] >> (i - 1) & 1:
+            i -= 1
+        elif j > 1 and not rows[j - 2] >> (i - 1) & 1:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            matches.append((lead + i, lead + j))
+    matches += [(k, k) for k in range(lead - 1, -1, -1)]
+    out: list[tuple[int, int, int]] = []
+    for a, b in reversed(matches):
+        if out and (out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]) == (a, b):
+            out[-1] = (*out[-1][:2], out[-1][2] + 1)
+        else:
+            out.append((a, b, 1))
+    return out
+
+
 def regions(ref: str, hyp: str, steps: list[tuple[str, int, int]]) -> list[tuple[str, str, int]]:
     """Maximal runs of steps that don't match: what stands in ref, in hyp, and the edits."""
     out, run = [], []

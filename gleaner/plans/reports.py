@@ -199,8 +199,8 @@ def e13_comparable_places(spark, sf):
 
 @query()
 def e14_matching_runs(spark, sf):
-    """Runs of characters that two texts share in place, of four or more, by source."""
-    from gleaner.functions.scoring import alignment, normal_form
+    """Equal runs of four or more characters in an alignment by insertions and deletions, by source."""
+    from gleaner.functions.scoring import matching_runs, normal_form
 
     u = utterances(spark, sf, "id", "source", "ref", "hyp")
 
@@ -210,14 +210,7 @@ def e14_matching_runs(spark, sf):
         for pdf in batches:
             out = []
             for i, s, r, h in zip(pdf["id"], pdf["source"], pdf["ref"], pdf["hyp"]):
-                r, h, n, at = normal_form(r), normal_form(h), 0, 0
-                for kind, a, _ in [*alignment(r, h), ("end", 0, 0)]:
-                    if kind == "=":
-                        at, n = (a if n == 0 else at), n + 1
-                    else:
-                        if n >= 4:
-                            out.append((i, s, at, n))
-                        n = 0
+                out += [(i, s, at, n) for at, _, n in matching_runs(normal_form(r), normal_form(h)) if n >= 4]
             yield pd.DataFrame(out, columns=["id", "source", "at", "n"])
 
     runs_ = u.mapInPandas(blocks, "id string, source string, at int, n int")

@@ -27,6 +27,38 @@ def test_alignment_is_cheapest_and_whole():
         assert all((a[i] == b[j]) == (k == "=") for k, i, j in steps if k in "=s")
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b, 1):
+            new.append(row[j - 1] + 1 if x == y else max(row[j], new[-1]))
+        row = new
+    return row[-1]
+
+
+def test_matching_runs_are_a_longest_common_subsequence():
+    assert sc.matching_runs("12345abcd", "abcd67890") == [(5, 0, 4)]
+    assert sc.matching_runs("", "a") == sc.matching_runs("a", "") == sc.matching_runs("ab", "cd") == []
+    assert sc.matching_runs("aaaa", "aaaa") == [(0, 0, 4)]
+    rng = random.Random(9)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(0, 14))) for _ in range(2))
+        runs = sc.matching_runs(a, b)
+        assert sum(n for *_, n in runs) == longest_common(a, b)
+        assert all(a[i : i + n] == b[j : j + n] for i, j, n in runs)
+        assert all(i + n <= k and j + n <= m and (i + n, j + n) != (k, m) for (i, j, n), (k, m, _) in zip(runs, runs[1:]))
+
+
+def test_matching_runs_query(spark, tmp_path):
+    from gleaner.plans.reports import e14_matching_runs
+
+    row = {"id": "s/1", "source": "s", "split": "train", "ref": "12345abcd", "hyp": "abcd67890", "row_no": 1}
+    columns = spark.read.parquet("/root/testdata/sf0.001/utt_index.parquet").schema
+    spark.createDataFrame([tuple(row.get(c) for c in columns.names)], columns).write.parquet(f"{tmp_path}/utt_index.parquet")
+    assert [tuple(r) for r in e14_matching_runs(spark, str(tmp_path)).collect()] == [("s", 1, 4, 4)]
+
+
 def test_regions():
     assert sc.regions("abcdef", "axcdeff", sc.alignment("abcdef", "axcdeff"))[0] == ("b", "x", 1)
     assert sc.regions("", "", []) == []
