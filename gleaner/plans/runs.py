@@ -181,10 +181,10 @@ def w02_dense_fill(spark, sf):
 @query("""with t as (select id, list_reverse(string_split(hyp, ''))[1:12] as tail from utt_index where length(hyp) >= 12)
  select id from t where list_contains(list_transform(range(1, 5), lambda p: tail[p + 1:12] = tail[1:12 - p]), true)""")
 def w27_periodic_tail(spark, sf):
-    """Hypotheses whose last 12 characters repeat with a period of 4 or less."""
-    df = table(spark, sf, "utt_index", "id", "hyp").filter(F.length("hyp") >= 12)
-    tail = F.slice(F.reverse(F.filter(F.split("hyp", ""), lambda c: c != "")), 1, 12)
-    return df.filter(F.exists(F.sequence(F.lit(1), F.lit(4)), lambda p: F.slice(tail, p + 1, 12 - p) == F.slice(tail, F.lit(1), 12 - p))).select("id")
+    """Hypotheses whose last 24 characters repeat with a period of 12 or less."""
+    df = table(spark, sf, "utt_index", "id", "hyp").filter(F.length("hyp") >= 24)
+    tail = F.slice(F.reverse(F.filter(F.split("hyp", ""), lambda c: c != "")), 1, 24)
+    return df.filter(F.exists(F.sequence(F.lit(1), F.lit(12)), lambda p: F.slice(tail, p + 1, 24 - p) == F.slice(tail, F.lit(1), 24 - p))).select("id")
 
 
 @query("""with a as (select path, row_number() over (order by path) as pos from (select distinct path from shard_manifest)), s as (select path, source from (select distinct path, source from shard_manifest) where source != 'pod_nc'),

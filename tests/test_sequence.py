@@ -115,3 +115,12 @@ def test_keyed_total_and_digest(spark, numbers):
     digests = {r.k: (r.digest, r.n) for r in s.ordered_digest(text, ["k"], ["i"], "t").collect()}
     assert digests["hot"] == (hashlib.sha256("\n".join(f"hot{i}" for i in range(3000)).encode()).hexdigest(), 3000)
     assert digests[None][1] == 1 and len(digests) == 5
+
+
+def test_periodic_tail_has_periods_up_to_twelve(spark, tmp_path):
+    from gleaner.plans.runs import w27_periodic_tail
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(f"p{p}", "start" + letters[:p] * (24 // p) + letters[: 24 % p]) for p in range(1, 14)] + [("short", "ab" * 11 + "a"), ("null", None)]
+    spark.createDataFrame(rows, "id string, hyp string").write.parquet(f"{tmp_path}/utt_index.parquet")
+    assert {r.id for r in w27_periodic_tail(spark, str(tmp_path)).collect()} == {f"p{p}" for p in range(1, 13)}
