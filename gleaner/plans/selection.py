@@ -310,6 +310,15 @@ def a06_summary(spark, sf):
     )
 
 
+@query("""select tag, round(quantile_cont(value, 0.01), 6) as p1, round(quantile_cont(value, 0.05), 6) as p5, round(quantile_cont(value, 0.25), 6) as p25, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.75), 6) as p75,
+ round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99 from run_scalar group by tag""")
+def a06_quantiles(spark, sf):
+    """The seven quantiles of the summary, exact."""
+    shares = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+    out = table(spark, sf, "run_scalar", "tag", "value").groupBy("tag").agg(F.percentile("value", F.array(*map(F.lit, shares))).alias("q"))
+    return out.select("tag", *(F.round(F.col("q")[i], 6).alias(f"p{round(100 * q)}") for i, q in enumerate(shares)))
+
+
 @query(f"select source, sha256(array_to_string(list(id order by row_no, id), chr(10))) as digest, count(*) as n from {UTT} group by source")
 def a32_id_digest(spark, sf):
     """One digest of the ids of a source in store order."""
