@@ -1,27 +1,29 @@
 """Records of evaluation splits that also stand, exactly or almost, in training (problem 1).
 
-Method: a pigeonhole join on grams in place of the suffix array the problem names. Spans of four to
-eight characters of training texts are joined by equality with the spans of evaluation texts; no
-suffix is sorted, no neighbours are compared, no common prefix is measured. A sorted array shows long
-shared spans between neighbours, but two short texts within the distance may share runs of five
-characters at most: all suffixes with equal leading characters would have to be compared, not only
-neighbours, and that is the join. An exact edit distance decides. In the pairs it leaves, all common
-runs of ``GRAM`` or more characters, wherever they stand, are merged into the coverage of the held-out
+Method: a suffix array over partitioned, concatenated texts. Each task lays its portion of the texts
+end to end, sorts the suffixes of that portion and cuts the sorted run at splitters that all tasks
+share; the runs of one range meet in one task, which merges them. In the merged order the common
+prefix of neighbours is measured, and an unbroken stretch of neighbours with common prefixes of a
+length is the class of suffixes that share a span of that length. Classes that hold suffixes of both
+sides give the pairs of texts to look at; an exact edit distance decides on them, and what the two
+texts share is extended to full common runs, which are merged into the coverage of the held-out
 record: by one partner for a pair, by all its partners for the report.
 
-The index is sparse on the training side, and still loses no pair. A training text of ``n``
-characters within the wanted distance of a partner differs from it by at most
+The array holds every suffix of a held-out text, but of a training text only those that can matter. A
+training text of ``n`` characters within the wanted distance of a partner differs from it by at most
 ``k = floor(rate * n / (1 - rate))`` edits, so of any ``k + 1`` disjoint spans of it at least one
-stands unchanged in the partner, moved by at most ``k``. Only the spans at ``k + 1`` chosen starts are
-therefore taken from training texts, and those at all places from evaluation texts.
+stands unchanged in the partner, moved by at most ``k``. A training text therefore gives ``k + 1``
+suffixes, each with the prefix it must have in common: the span up to the next one's start. No pair
+within the distance is lost, however many suffixes share a prefix.
 
-The starts are chosen by dynamic programming so that spans common in evaluation texts (sentence
-endings, fillers) are avoided. What is common is read from a count of all leading grams of the
-evaluation side, folded into a fixed number of cells. Where a short text cannot avoid a common span,
-that span alone would pair everything with everything; such a span is instead paired with pieces of
-the remainder of its text: if the common span stands unchanged, the at most ``k`` edits lie in the
-remainder, so of ``k + 1`` disjoint pieces of the remainder one stands unchanged as well, and the two
-together are the key. Both ways together are exact; the choice of starts only affects speed.
+The starts are chosen by dynamic programming so that the spans begin where held-out texts rarely go,
+by a count of the leading grams of all held-out suffixes, folded into a fixed number of cells; this
+bears on speed only. So does ``DEPTH``, to which the order is worked out: a longer span is one of
+``DEPTH`` characters, and a span may be cut shorter without losing a pair.
+
+Splitters come from a sample of bounded size, as in any sort by ranges. A prefix so frequent that it
+fills several ranges is cut by record instead, and a range with many training suffixes for its few
+held-out ones is divided among tasks by training record, so no task takes a hot prefix alone.
 
 Texts are handled once however many records share them.
 """
@@ -40,15 +42,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.llm.skeleton import skeletons
-from gleaner.session import materialise
+from gleaner.session import materialise, ship
 
-GRAM = 4  # characters of a span that are the join key; k + 1 disjoint ones fit any text of 15 characters or more
-WINDOW = 8  # characters of a span that are compared
-CELLS = 1 << 16  # into which gram counts are folded
+GRAM = 4  # least characters of a span; k + 1 disjoint ones fit any text of 15 characters or more
+DEPTH = 24  # characters to which suffixes are ordered, a multiple of four
+CELLS = 1 << 17  # into which gram counts are folded
 LOT = 2_000  # texts of one length that are placed at once
-BLOCK = 136  # characters that one run of dynamic programming covers
+STRETCH = 136  # characters that one run of dynamic programming covers
+RANGE = 1_000_000  # suffixes that one range holds, about
+SAMPLE = 50_000  # suffixes of each side that the splitters are read from, about
+PAIRS = 1 << 20  # pairs of suffixes that are compared at once
 KEEP = re.compile("[^\\w￿]+|_+")
-SPANS = "key bigint, lo bigint, span int, tid bigint, first int, last int, n int"
+RUNS = "part int, held boolean, run binary"
 
 
 def comparable(texts: list[str | None]) -> list[str]:
@@ -78,29 +83,41 @@ def portions(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator
 
 
 class Codes:
-    """The characters of a batch of texts in one flat array, with packed grams at every position."""
+    """The texts of a portion end to end, as 16-bit codes, with four packed codes at every place.
+
+    Texts are parted by zeros, which no text holds, so a suffix ends where its text does. Characters
+    beyond the basic plane share codes with others, which can only add pairs to look at.
+    """
 
     def __init__(self, batch: pa.RecordBatch):
         texts = batch.column("text").to_pylist()
         self.tid = np.array(batch.column("tid").to_pylist(), np.int64)
         self.n = np.array([len(x) for x in texts], np.int64)
-        self.at = np.concatenate([[0], np.cumsum(self.n + WINDOW)])[:-1]
-        flat = np.frombuffer(("\0" * WINDOW).join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        folded = (flat ^ ((flat >> np.uint64(16)) * np.uint64(40503))) & np.uint64(0xFFFF)
-        padded = np.concatenate([folded, np.zeros(WINDOW, np.uint64)])
-        size = len(folded)
-        self.pair = (padded[:size] << np.uint64(16)) | padded[1 : size + 1]
-        quad = np.concatenate([self.pair, np.zeros(GRAM, np.uint64)])
-        self.hi = (quad[:size] << np.uint64(32)) | quad[2 : size + 2]
-        self.lo = np.concatenate([self.hi[GRAM:], np.zeros(min(GRAM, size), np.uint64)])[:size]
-
-    def starts(self, gram: int) -> tuple[np.ndarray, np.ndarray]:
-        """Row and flat position of each gram that lies within its text."""
-        per = np.maximum(self.n - gram + 1, 0)
+        self.at = np.concatenate([[0], np.cumsum(self.n + DEPTH)])[:-1]
+        flat = np.frombuffer(("\0" * DEPTH).join([*texts, "\0" * GRAM]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        code = (flat ^ ((flat >> np.uint64(16)) * np.uint64(40503))) & np.uint64(0xFFFF)
+        pair = (code[:-1] << np.uint64(16)) | code[1:]
+        self.packed = (pair[:-2] << np.uint64(32)) | pair[2:]
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Row and flat place of each suffix of ``GRAM`` or more characters."""
+        per = np.maximum(self.n - GRAM + 1, 0)
         row = np.repeat(np.arange(len(self.n)), per)
         inside = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
         return row, self.at[row] + inside
 
+    def prefixes(self, at: np.ndarray, need: np.ndarray | None = None) -> np.ndarray:
+        """The first ``DEPTH`` characters of the suffixes, four to a column; zeros from ``need`` on."""
+        out = np.empty((DEPTH // 4, len(at)), np.uint64)
+        for j in range(DEPTH // 4):
+            out[j] = self.packed[at + 4 * j]
+            if need is not None:
+                out[j] &= MASKS[np.clip(need - 4 * j, 0, 4)]
+        return out
+
+
+MASKS = np.array([0, *(((1 << 64) - 1) ^ ((1 << 16 * (4 - j)) - 1) for j in range(1, 5))], np.uint64)
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -112,17 +129,20 @@ def _cell(grams: np.ndarray, cells: int) -> np.ndarray:
     return (_mix(grams) % np.uint64(cells)).astype(np.int64)
 
 
+def _chance(tid: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number below 2**32 for each suffix, from its text and place alone."""
+    return _mix(_mix(tid.astype(np.uint64)) + place.astype(np.uint64)) >> np.uint64(32)
+
+
 def _count_cells(cells: int):
-    """Counts of the four- and two-character grams of a partition, folded into ``cells`` each."""
+    """Counts of the leading grams of a partition's suffixes, folded into ``cells``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * cells, np.int64)
+        total = np.zeros(cells, np.int64)
         for b in portions(batches):
             c = Codes(b)
-            for gram, codes, base in ((GRAM, c.hi, 0), (2, c.pair, cells)):
-                _, p = c.starts(gram)
-                if len(p):
-                    total += np.bincount(_cell(codes[p], cells) + base, minlength=2 * cells)
+            _, at = c.places()
+            total += np.bincount(_cell(c.packed[at], cells), minlength=cells)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], ["cell", "n"])
 
@@ -160,20 +180,22 @@ def edits_allowed(n: np.ndarray, rate: Fraction) -> np.ndarray:
     return n * rate.numerator // (rate.denominator - rate.numerator)
 
 
+def stretches(n: int) -> list[tuple[int, int]]:
+    """Start and length of the stretches of a long text that are placed by themselves."""
+    cuts = [*range(0, n, STRETCH), n]
+    if len(cuts) > 2 and cuts[-1] - cuts[-2] < 2 * GRAM + 8:
+        del cuts[-2]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
 def chosen_spans(c: Codes, counts: np.ndarray, rate: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, flat start and length of the ``k + 1`` or more disjoint spans of each text of a batch.
+    """Row, flat start and length of the ``k + 1`` or more disjoint spans of each text of a portion.
 
-    Long texts are cut into blocks that each give their share of spans, which costs nothing: the
-    shares add up to at least ``k + 1``.
+    Stretches of a long text each give their share of spans, which costs nothing: the shares add up to
+    at least ``k + 1``.
     """
-    rows, offs, lens = [], [], []
-    for i, n in enumerate(c.n):
-        cuts = [*range(0, n, BLOCK), n]
-        if len(cuts) > 2 and cuts[-1] - cuts[-2] < 2 * GRAM + 8:
-            del cuts[-2]
-        for a, b in zip(cuts, cuts[1:]):
-            rows.append(i), offs.append(a), lens.append(b - a)
-    rows, offs, lens = (np.array(x, np.int64) for x in (rows, offs, lens))
+    cuts = [(i, a, length) for i, n in enumerate(c.n.tolist()) for a, length in stretches(n)]
+    rows, offs, lens = np.array(cuts, np.int64).reshape(-1, 3).T
     out_row, out_at = [], []
     for length in np.unique(lens):
         spans = int(edits_allowed(length, rate)) + 1
@@ -183,7 +205,7 @@ def chosen_spans(c: Codes, counts: np.ndarray, rate: Fraction) -> tuple[np.ndarr
         for mine in np.array_split(alike, -(-len(alike) // LOT)):
             base = c.at[rows[mine]] + offs[mine]
             grid = base[None, :] + np.arange(length - GRAM + 1)[:, None]
-            starts = cheapest_starts(counts[_cell(c.hi[grid], len(counts))], spans, GRAM)
+            starts = cheapest_starts(counts[_cell(c.packed[grid], len(counts))], spans, GRAM)
             out_row.append(np.tile(rows[mine], spans)), out_at.append((base[None, :] + starts).ravel())
     if not out_row:
         return (np.zeros(0, np.int64),) * 3
@@ -192,136 +214,234 @@ def chosen_spans(c: Codes, counts: np.ndarray, rate: Fraction) -> tuple[np.ndarr
     row, at = row[order], at[order]
     after = np.concatenate([at[1:], [0]])
     end = np.where(np.concatenate([row[1:] == row[:-1], [False]]), after, c.at[row] + c.n[row])
-    return row, at, np.minimum(end - at, WINDOW)
+    return row, at, np.minimum(end - at, DEPTH)
 
 
-def _mask(span: np.ndarray) -> np.ndarray:
-    keep = np.array([0, *(((1 << 16 * j) - 1) << 16 * (WINDOW - GRAM - j) for j in range(1, WINDOW - GRAM + 1))], np.uint64)
-    return keep[span - GRAM]
+def _suffixes(c: Codes, held: bool, counts: np.ndarray | None, rate: Fraction):
+    """Row, flat place, needed length and prefix of the suffixes that a portion gives to the array."""
+    if held:
+        row, at = c.places()
+        need = np.zeros(len(row), np.int64)
+        return row, at, need, c.prefixes(at)
+    row, at, need = chosen_spans(c, counts, rate)
+    return row, at, need, c.prefixes(at, need)
 
 
-MASK = f"case when span = {GRAM} then 0L else shiftleft(-1L, 16 * ({WINDOW} - span)) end"
+def _bytes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Eight characters as bytes that sort as the characters do."""
+    return np.ascontiguousarray(np.stack([first, second], 1).astype(">u8")).view("S16").ravel()
 
 
-def _merged(c: Codes, row, at, last, key, lo, span) -> pa.RecordBatch:
-    """One row for equal spans of one text, with the first and last place of them."""
-    order = np.lexsort((at, lo, key, row))
-    row, at, last, key, lo, span = (x[order] for x in (row, at, last, key, lo, span))
-    head = np.ones(len(row), bool)
-    head[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (span[1:] != span[:-1])
-    begin = np.flatnonzero(head)
-    end = np.maximum.reduceat(last, begin) if len(begin) else last
-    pick = lambda x: x[begin]
-    base = c.at[row]
-    signed = lambda x: pa.array(pick(x).view(np.int64), pa.int64())
-    small = lambda x: pa.array(x.astype(np.int32), pa.int32())
-    return pa.RecordBatch.from_arrays(
-        [signed(key), signed(lo), small(pick(span)), pa.array(c.tid[pick(row)], pa.int64()), small(pick(at - base)), small(end - pick(base)), small(c.n[pick(row)])],
-        ["key", "lo", "span", "tid", "first", "last", "n"],
-    )
-
-
-def _with_piece(hi: np.ndarray, piece: np.ndarray) -> np.ndarray:
-    return _mix(hi) ^ (_mix(piece + np.uint64(1)) >> np.uint64(1))
+def _bounds(prefix: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and greatest eight characters that a suffix with this prefix can begin with."""
+    high = [prefix[j] | ~MASKS[np.clip(need - 4 * j, 0, 4)] for j in (0, 1)]
+    return _bytes(prefix[0], prefix[1]), _bytes(*high)
 
 
-def _training_spans(counts: np.ndarray, piece_counts: np.ndarray, rate: Fraction, common: int, report: bool):
-    """Spans of training texts at the chosen starts; common ones with pieces of the remainder.
-
-    With ``report`` only the cells of the common grams that were chosen, with the longest such text.
-    """
+def _sampled(held: bool, counts: np.ndarray | None, rate: Fraction, chance: float):
+    """The first eight characters of a part of the suffixes, drawn by their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
             c = Codes(b)
-            row, at, span = chosen_spans(c, counts, rate)
-            cell = _cell(c.hi[at], len(counts))
-            # Both ways are exact; in a long text common spans are few beside the others and go the plain way.
-            hot = (counts[cell] > common) & (c.n[row] <= BLOCK)
-            if report:
-                longest = np.zeros(len(counts), np.int64)
-                np.maximum.at(longest, cell[hot], c.n[row[hot]])
-                held = np.flatnonzero(longest)
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(longest[held], pa.int64())], ["cell", "n"])
-                continue
-            mask = _mask(span)
-            cold = ~hot
-            parts = [(row[cold], at[cold], at[cold], c.hi[at[cold]], c.lo[at[cold]] & mask[cold], span[cold])]
-            for r, p in zip(row[hot], at[hot]):
-                base, n = c.at[r], c.n[r]
-                grid = np.concatenate([np.arange(base, p - 1, 2), np.arange(p + GRAM, base + n - 1, 2)])
-                need = int(edits_allowed(n, rate)) + 1
-                grid = grid[np.argsort(piece_counts[_cell(c.pair[grid], len(counts))], kind="stable")[:need]]
-                like = np.full(len(grid), 1, np.int64)
-                key = _with_piece(np.full(len(grid), c.hi[p], np.uint64), c.pair[grid])
-                parts.append((like * r, like * p, like * p, key, np.zeros(len(grid), np.uint64), like * GRAM))
-            yield _merged(c, *(np.concatenate(x) for x in zip(*parts)))
+            row, at, need, prefix = _suffixes(c, held, counts, rate)
+            drawn = np.flatnonzero(_chance(c.tid[row], at - c.at[row]) < np.uint64(int(chance * (1 << 32))))
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64), pa.int64()) for x in (prefix[0][drawn], prefix[1][drawn])] + [pa.array(need[drawn], pa.int64())], ["a", "b", "need"])
 
     return run
 
 
-def _held_out_spans(wanted: np.ndarray, rate: Fraction):
-    """The spans at all places of the held-out texts; beside a wanted common gram also each piece of the remainder."""
+class Ranges:
+    """Which ranges of the order go to which tasks.
+
+    ``splitters`` are ascending and may repeat: equal ones mark a prefix that fills several ranges,
+    over which its held-out suffixes are spread by record. A range is divided into ``parts`` tasks by
+    training record; its held-out suffixes go to each of them.
+    """
+
+    def __init__(self, splitters: np.ndarray, parts: np.ndarray):
+        self.splitters, self.parts = splitters, parts
+        self.first = np.cumsum(parts) - parts
+        self.total = int(parts.sum())
+
+    @staticmethod
+    def planned(held: np.ndarray, low: np.ndarray, high: np.ndarray, ranges: int) -> Ranges:
+        """From samples: the bytes of held-out suffixes and the bounds of training ones."""
+        held = np.sort(held)
+        splitters = held[np.arange(1, ranges) * len(held) // ranges] if len(held) else held
+        whole = len(splitters) + 1
+        begun = np.bincount(np.searchsorted(splitters, low, "left"), minlength=whole + 1)[: whole + 1]
+        ended = np.bincount(np.searchsorted(splitters, high, "right") + 1, minlength=whole + 1)[: whole + 1]
+        met = np.cumsum(begun - ended)[:whole]
+        return Ranges(splitters, np.maximum(1, met * whole // max(1, 4 * len(low))))
+
+    def of_held(self, key: np.ndarray, tid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the suffix and its task; an index for each task of the range."""
+        left, right = (np.searchsorted(self.splitters, key, side) for side in ("left", "right"))
+        mine = left + (_mix(tid.astype(np.uint64)) % (right - left + 1).astype(np.uint64)).astype(np.int64)
+        which = np.repeat(np.arange(len(key)), self.parts[mine])
+        return which, self.first[mine[which]] + _inside(self.parts[mine])
+
+    def of_training(self, low: np.ndarray, high: np.ndarray, tid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the suffix and its task; an index for each range where its prefix may go on."""
+        left, right = np.searchsorted(self.splitters, low, "left"), np.searchsorted(self.splitters, high, "right")
+        which = np.repeat(np.arange(len(low)), right - left + 1)
+        mine = left[which] + _inside(right - left + 1)
+        return which, self.first[mine] + (_mix(tid[which].astype(np.uint64) + np.uint64(1)) % self.parts[mine].astype(np.uint64)).astype(np.int64)
+
+
+def _inside(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of groups that follow each other."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _packed_run(columns: list[np.ndarray]) -> bytes:
+    """Columns of equal length as one value, by planes of bytes, which in sorted order are much alike."""
+    planes = b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() for x in columns)
+    return len(columns[0]).to_bytes(4, "little") + len(planes).to_bytes(4, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def _unpacked_run(value: bytes, kinds: list) -> list[np.ndarray]:
+    n, size = int.from_bytes(value[:4], "little"), int.from_bytes(value[4:8], "little")
+    planes, out, at = np.frombuffer(pa.Codec("zstd").decompress(value[8:], size), np.uint8), [], 0
+    for kind in kinds:
+        width = np.dtype(kind).itemsize * n
+        out.append(np.ascontiguousarray(planes[at : at + width].reshape(-1, n).T).view(kind).ravel())
+        at += width
+    return out
+
+
+KINDS = [*[np.uint64] * (DEPTH // 4), np.int64, np.int32, np.int32, np.uint8]
+
+
+def _sorted_runs(held: bool, counts: np.ndarray | None, rate: Fraction, ranges: Ranges):
+    """The suffix array of each portion, cut into one run for each task of the ranges it goes to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
             c = Codes(b)
-            row, at = c.starts(GRAM)
-            parts = [(row, at, at, c.hi[at], c.lo[at], np.full(len(row), GRAM))]
-            limit = wanted[_cell(c.hi[at], len(wanted))]
-            hot = np.flatnonzero(c.n[row] <= limit + edits_allowed(limit, rate))
-            for lot in np.array_split(hot, max(1, len(hot) // 4096)):
-                if not len(lot):
-                    continue
-                per = c.n[row[lot]] - 1
-                which = np.repeat(lot, per)
-                piece = c.at[row[which]] + np.arange(len(which)) - np.repeat(np.cumsum(per) - per, per)
-                apart = (piece + 2 <= at[which]) | (piece >= at[which] + GRAM)
-                which, piece = which[apart], piece[apart]
-                none = np.zeros(len(which), np.uint64)
-                parts.append((row[which], at[which], at[which], _with_piece(c.hi[at[which]], c.pair[piece]), none, np.full(len(which), GRAM)))
-            yield _merged(c, *(np.concatenate(x) for x in zip(*parts)))
+            row, at, need, prefix = _suffixes(c, held, counts, rate)
+            tid = c.tid[row]
+            if held:
+                which, part = ranges.of_held(_bytes(prefix[0], prefix[1]), tid)
+            else:
+                which, part = ranges.of_training(*_bounds(prefix, need), tid)
+            order = np.lexsort((*prefix[::-1, which], part))
+            which, part = which[order], part[order]
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            columns = [*prefix[:, which], tid[which], (at - c.at[row])[which].astype(np.int32), c.n[row][which].astype(np.int32), need[which].astype(np.uint8)]
+            spans = [(i, j) for i, j in zip(cuts, cuts[1:]) if j > i]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(part[i]) for i, _ in spans], pa.int32()), pa.array([held] * len(spans), pa.bool_()), pa.array([_packed_run([x[i:j] for x in columns]) for i, j in spans], pa.binary())],
+                ["part", "held", "run"],
+            )
 
     return run
 
 
-def _cells(df: DataFrame, how, size: int) -> np.ndarray:
-    """A fixed-size array of counts or maxima, gathered from all partitions."""
-    out = np.zeros(size, np.int64)
-    found = df.groupBy("cell").agg(how("n").alias("n")).toArrow()
-    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+def common_prefixes(prefix: np.ndarray) -> np.ndarray:
+    """How many characters each suffix of a sorted array has in common with the one before it; 0 for the first."""
+    out = np.zeros(prefix.shape[1], np.int64)
+    same = np.ones(max(0, prefix.shape[1] - 1), bool)
+    for column in prefix:
+        differs = column[1:] ^ column[:-1]
+        equal = np.select([differs >> np.uint64(48) != 0, differs >> np.uint64(32) != 0, differs >> np.uint64(16) != 0, differs != 0], [0, 1, 2, 3], 4)
+        out[1:] += np.where(same, equal, 0)
+        same &= equal == 4
     return out
 
 
+def met_in_classes(prefix: np.ndarray, need: np.ndarray, held: np.ndarray, most: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of the training and held-out suffixes that share a class, about ``most`` pairs at a time.
+
+    A class for a needed length is a stretch of neighbours in the sorted array whose common prefixes
+    all reach it. It ends where a neighbour has less in common, so the classes of a length are numbered
+    by counting those places.
+    """
+    common = common_prefixes(prefix)
+    theirs = np.flatnonzero(held)
+    for length in np.unique(need[~held]):
+        group = np.cumsum(common < length)
+        mine, groups = np.flatnonzero(~held & (need == length)), group[theirs]
+        low, high = (np.searchsorted(groups, group[mine], side) for side in ("left", "right"))
+        some = np.flatnonzero(high > low)
+        mine, low, per = mine[some], low[some], (high - low)[some]
+        upto = np.concatenate([[0], np.cumsum(per)])
+        for begin in range(0, int(upto[-1]), most):
+            end = min(begin + most, int(upto[-1]))
+            pair = np.arange(begin, end)
+            k = np.searchsorted(upto, pair, "right") - 1
+            yield mine[k], theirs[low[k] + pair - upto[k]]
+
+
+def _cross_split(rate: Fraction):
+    """Merges the runs of each range and gives the texts whose suffixes meet in a class, in about the same place."""
+
+    def pairs(runs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(x) for x in zip(*(_unpacked_run(r, KINDS) for r in runs))]
+        runs.clear()
+        order = np.lexsort((columns[-1], *columns[: DEPTH // 4][::-1]))
+        columns = [x[order] for x in columns]
+        tid, place, n, need = columns[DEPTH // 4 :]
+        prefix = np.stack(columns[: DEPTH // 4])
+        # Compared as wholes, a training suffix is its span alone and so stands before all that go on from it.
+        for a, b in met_in_classes(prefix, need.astype(np.int64), need == 0):
+            most = np.maximum(n[a], n[b]).astype(np.int64) * rate.numerator // rate.denominator
+            near = (np.abs(n[a].astype(np.int64) - n[b]) <= most) & (np.abs(place[a].astype(np.int64) - place[b]) <= most)
+            found = np.unique(np.stack([tid[b[near]], tid[a[near]]], 1), axis=0)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], ["tid_held", "tid_train"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, runs = None, []
+        for b in batches:
+            for mine, value in zip(b.column("part").to_pylist(), b.column("run")):
+                if mine != part and runs:
+                    yield from pairs(runs)
+                part = mine
+                runs.append(value.as_py())
+        if runs:
+            yield from pairs(runs)
+
+    return run
+
+
 def distinct_texts(records: DataFrame) -> DataFrame:
-    """``tid, text, in_train, in_held_out``: each text once, however many records share it."""
+    """``tid, text, in_train, in_held_out``: each text once, however many records share it. To be written before ``tid`` is used."""
     flags = [F.bool_or(~F.col("held_out")).alias("in_train"), F.bool_or("held_out").alias("in_held_out")]
-    return records.groupBy("text").agg(*flags).select(F.xxhash64("text").alias("tid"), "text", "in_train", "in_held_out")
+    return records.groupBy("text").agg(*flags).select(F.monotonically_increasing_id().alias("tid"), "text", "in_train", "in_held_out")
 
 
-def shared_spans(texts: DataFrame, rate: Fraction = Fraction(15, 100), cells: int = CELLS, floor: int = 64) -> DataFrame:
+def shared_spans(texts: DataFrame, rate: Fraction = Fraction(15, 100), cells: int = CELLS, per_range: int = RANGE, sample: int = SAMPLE) -> DataFrame:
     """Pairs of texts across the split that share a span in place: ``tid_held, tid_train``, each once.
 
-    Every pair within ``rate`` is among the pairs. ``cells`` and ``floor`` (least count of a common
-    gram) bear on speed only.
+    Every pair within ``rate`` is among the pairs. ``cells``, ``per_range`` (suffixes in a range) and
+    ``sample`` (suffixes the splitters are read from) bear on speed only.
     """
+    spark = texts.sparkSession
+    ship(spark)
     texts = texts.select("tid", "text", "in_train", "in_held_out")
-    held = texts.filter("in_held_out").select("tid", "text")
-    train = texts.filter("in_train").select("tid", "text")
-    counts = _cells(held.mapInArrow(_count_cells(cells), "cell bigint, n bigint"), F.sum, 2 * cells)
-    grams, pieces = counts[:cells], counts[cells:]
-    common = max(floor, 16 * int(grams.mean()))
-    wanted = _cells(train.mapInArrow(_training_spans(grams, pieces, rate, common, True), "cell bigint, n bigint"), F.max, cells)
-    a = train.mapInArrow(_training_spans(grams, pieces, rate, common, False), SPANS)
-    b = held.mapInArrow(_held_out_spans(wanted, rate), SPANS).select("key", F.col("lo").alias("lo_b"), F.col("tid").alias("tid_held"), F.col("first").alias("first_b"), F.col("last").alias("last_b"), F.col("n").alias("n_b"))
-    most = F.expr(f"greatest(n, n_b) * {rate.numerator} div {rate.denominator}")
-    near = (
-        (F.col("lo_b").bitwiseAND(F.expr(MASK)) == F.col("lo"))
-        & (F.abs(F.col("n") - F.col("n_b")) <= most)
-        & (F.col("first") <= F.col("last_b") + most)
-        & (F.col("last") >= F.col("first_b") - most)
-    )
-    return a.join(b, "key").filter(near).select("tid_held", F.col("tid").alias("tid_train")).distinct()
+    sides = {held: texts.filter("in_held_out" if held else "in_train").select("tid", "text") for held in (True, False)}
+    # A fixed number of cells reaches the driver, whatever the input.
+    counts = np.zeros(cells, np.int64)
+    found = sides[True].mapInArrow(_count_cells(cells), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    size = texts.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.sum(F.when(F.col("in_held_out"), F.length("text"))).alias("held")).first()
+    drawn = {}
+    for held, df in sides.items():
+        # Some texts are drawn, and of their suffixes so many that about ``sample`` are left.
+        share = min(1.0, sample / max(1, size.n))
+        some = df.filter(F.pmod(F.xxhash64(F.lit("range"), "tid"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+        chance = min(1.0, sample / max(1.0, share * (size.chars or 0)))
+        got = some.mapInArrow(_sampled(held, counts, rate, chance), "a bigint, b bigint, need bigint").toArrow()
+        drawn[held] = [got.column(x).to_numpy().astype(np.int64) for x in ("a", "b", "need")]
+    a, b, need = drawn[False]
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size.held or 0) // per_range))
+    bounds = _bounds(np.stack([a.view(np.uint64), b.view(np.uint64)]), need)
+    ranges = Ranges.planned(_bytes(drawn[True][0].view(np.uint64), drawn[True][1].view(np.uint64)), *bounds, wanted)
+    runs = [df.mapInArrow(_sorted_runs(held, counts, rate, ranges), RUNS) for held, df in sides.items()]
+    met = runs[0].unionByName(runs[1]).repartitionById(ranges.total, "part").sortWithinPartitions("part")
+    return met.mapInArrow(_cross_split(rate), "tid_held bigint, tid_train bigint").distinct()
 
 
 def common_runs(text: str, partner: str) -> list[tuple[int, int]]:
@@ -364,12 +484,27 @@ def held_out_records(utterances: DataFrame, min_len: int = 15) -> DataFrame:
 
     The text is ref, or hyp where ref is null or empty. Rows with a null id or split are left out.
     """
+    ship(utterances.sparkSession)
     rows = utterances.filter("id is not null and split in ('train', 'dev', 'eval')")
     text = F.when(F.length("ref") > 0, F.col("ref")).otherwise(F.col("hyp"))
     rows = rows.select("id", (F.col("split") != "train").alias("held_out"), text.alias("text"))
     return rows.mapInArrow(_normalise(min_len), "id string, held_out boolean, text string")
 
 
+def _near_records(utterances: DataFrame, rate: Fraction, min_len: int, tuning: dict) -> tuple[DataFrame, DataFrame]:
+    """The records, and the pairs of their texts; two hashes, 96 bits in all, stand for a text, so that none travels to be joined with its ids."""
+    records = materialise(held_out_records(utterances, min_len), "records")
+    near = near_texts(materialise(distinct_texts(records), "texts"), rate, **tuning)
+    hashed = lambda column, name: (F.xxhash64(column).alias(f"a_{name}"), F.hash(column).alias(f"b_{name}"))
+    near = near.select(*hashed("text_held", "held"), *hashed("text_train", "train"), "edits", F.length("text_held").alias("n"), "runs")
+    return records.select("id", "held_out", *hashed("text", "text")), near
+
+
+def _side(records: DataFrame, held: bool) -> DataFrame:
+    name = "held" if held else "train"
+    return records.filter("held_out" if held else "not held_out").select(F.col("a_text").alias(f"a_{name}"), F.col("b_text").alias(f"b_{name}"), F.col("id").alias(f"id_{name}"))
+
+
 def cross_split_pairs(utterances: DataFrame, rate: Fraction = Fraction(15, 100), min_len: int = 15, **tuning: int) -> DataFrame:
     """Pairs of a held-out and a training record, each once: ``id_held, id_train, edits, covered, text, n, runs``.
 
@@ -378,28 +513,26 @@ def cross_split_pairs(utterances: DataFrame, rate: Fraction = Fraction(15, 100),
     several texts the nearest counts. Empty input gives an empty result; repeated rows of an id count once; an id that stands on both
     sides is not paired with itself.
     """
-    records = materialise(held_out_records(utterances, min_len), "records")
-    texts = materialise(distinct_texts(records), "texts")
-    near = near_texts(texts, rate, **tuning)
-    # Two hashes, 96 bits in all, stand for the text, so that no text travels to be joined with its ids.
-    marked = near.select(*(f(c).alias(f"{h}_{c}") for c in ("text_held", "text_train") for h, f in (("a", F.xxhash64), ("b", F.hash))), "edits", F.length("text_held").alias("n"), "runs")
-    ids = lambda side: (F.xxhash64("text").alias(f"a_text_{side}"), F.hash("text").alias(f"b_text_{side}"), F.col("id").alias(f"id_{side}"))
-    pairs = marked.join(records.filter("held_out").select(*ids("held")), ["a_text_held", "b_text_held"])
-    pairs = pairs.join(records.filter("not held_out").select(*ids("train")), ["a_text_train", "b_text_train"]).filter("id_held != id_train")
+    records, near = _near_records(utterances, rate, min_len, tuning)
+    pairs = near.join(_side(records, True), ["a_held", "b_held"]).join(_side(records, False), ["a_train", "b_train"]).filter("id_held != id_train")
     # Without the columns of the text, as for the ids alone, the planner leaves out the runs altogether.
-    best = F.min(F.struct("edits", F.col("a_text_held").alias("text"), "n", "runs"))
+    best = F.min(F.struct("edits", F.col("a_held").alias("text"), "n", "runs"))
     pairs = pairs.groupBy("id_held", "id_train").agg(best.alias("best")).select("id_held", "id_train", "best.*")
     covered = F.aggregate("runs", F.lit(0), lambda total, x: total + x["high"] - x["low"]) / F.col("n")
     return pairs.select("id_held", "id_train", "edits", covered.alias("covered"), "text", "n", "runs")
 
 
-def covered_records(pairs: DataFrame) -> DataFrame:
-    """``id, edits, covered`` of each held-out record: its nearest partner's edits, and the share of its text that any partner has.
+def covered_records(utterances: DataFrame, rate: Fraction = Fraction(15, 100), min_len: int = 15, **tuning: int) -> DataFrame:
+    """``id, edits, covered`` of each held-out record with a partner: its nearest partner's edits, and the share of its text that any partner has.
 
     The runs of all partners are merged as intervals; a place that several partners have counts once.
-    Of an id stored with several texts the best values count.
+    Training records that share a text are one partner. Of an id stored with several texts the best
+    values count; an id that stands on both sides is no partner of itself.
     """
-    runs = pairs.select("id_held", "text", "n", "edits", F.explode_outer("runs").alias("run")).select("id_held", "text", "n", "edits", "run.*")
+    records, near = _near_records(utterances, rate, min_len, tuning)
+    partners = _side(records, False).groupBy("a_train", "b_train").agg(F.min("id_train").alias("least"), F.max("id_train").alias("most"))
+    found = near.join(partners, ["a_train", "b_train"]).join(_side(records, True).distinct(), ["a_held", "b_held"]).filter("id_held != least or id_held != most")
+    runs = found.select("id_held", F.col("a_held").alias("text"), "n", "edits", F.explode_outer("runs").alias("run")).select("id_held", "text", "n", "edits", "run.*")
     runs = runs.groupBy("id_held", "text", "low", "high").agg(F.min("edits").alias("edits"), F.max("n").alias("n"))
     before = Window.partitionBy("id_held", "text").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
     upto = F.coalesce(F.max("high").over(before), F.lit(0))
@@ -408,13 +541,13 @@ def covered_records(pairs: DataFrame) -> DataFrame:
     return each.groupBy(F.col("id_held").alias("id")).agg(F.min("edits").alias("edits"), F.max("covered").alias("covered"))
 
 
-def overlap_report(pairs: DataFrame, utterances: DataFrame) -> DataFrame:
+def overlap_report(utterances: DataFrame, **tuning: int) -> DataFrame:
     """Per held-out split and source: records, those that stand in training, exactly or at all, and their share.
 
     ``mean_covered`` is the mean over those that stand in training of the share of their text that lies
     in runs of ``GRAM`` or more characters of their partners.
     """
-    best = covered_records(pairs)
+    best = covered_records(utterances, **tuning)
     held = utterances.filter("split in ('dev', 'eval')").groupBy("id").agg(F.max("split").alias("split"), F.max("source").alias("source"))
     return (
         held.join(best, "id", "left")

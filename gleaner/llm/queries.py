@@ -21,8 +21,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, sf: str) -> DataFrame:
-    utterances = table(spark, sf, "utt_index", "id", "source", "split", "ref", "hyp")
-    return overlap.overlap_report(overlap.cross_split_pairs(utterances), utterances)
+    return overlap.overlap_report(table(spark, sf, "utt_index", "id", "source", "split", "ref", "hyp"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 
 from gleaner.llm import overlap as o
 
@@ -62,15 +63,15 @@ def test_equals_brute_force(spark):
     assert found(spark, rows) == brute(rows) != set()
 
 
-def test_common_endings_take_the_second_way(spark):
+def test_common_endings(spark):
     # Every text ends alike and few letters are used, so short texts can't avoid common spans.
     rows = corpus(2, list("abcdefghij"), "られたらしい", 120)
-    assert found(spark, rows, floor=1, cells=1 << 10) == brute(rows) != set()
+    assert found(spark, rows, cells=1 << 10) == brute(rows) != set()
 
 
 def test_two_letters(spark):
     rows = corpus(3, list("ab"), "", 40)
-    assert found(spark, rows, floor=1, cells=64) == brute(rows) != set()
+    assert found(spark, rows, cells=64) == brute(rows) != set()
 
 
 def test_odd_rows(spark):
@@ -103,10 +104,8 @@ def test_starts_are_apart_and_cheapest():
 
 def test_enough_spans_for_every_length():
     for n in range(15, 2000):
-        pieces = [*range(0, n, o.BLOCK), n]
-        if len(pieces) > 2 and pieces[-1] - pieces[-2] < 2 * o.GRAM + 8:
-            del pieces[-2]
-        lens = np.diff(pieces)
+        starts, lens = np.array(o.stretches(n)).T
+        assert starts[0] == 0 and (starts[1:] == (starts + lens)[:-1]).all() and starts[-1] + lens[-1] == n
         spans = o.edits_allowed(lens, RATE) + 1
         assert spans.sum() >= o.edits_allowed(np.array([n]), RATE)[0] + 1
         assert (lens >= o.GRAM * spans).all()
@@ -115,7 +114,7 @@ def test_enough_spans_for_every_length():
 def test_report(spark):
     rows = corpus(6, [chr(c) for c in range(0x4E00, 0x4E40)], "", 40)
     df = spark.createDataFrame([(*r, "s") for r in rows], "id string, split string, ref string, hyp string, source string")
-    report = o.overlap_report(o.cross_split_pairs(df), df).collect()
+    report = o.overlap_report(df).collect()
     assert sum(r.n_overlapping for r in report) == len({a for a, _ in brute(rows)})
     assert sum(r.n_records for r in report) == sum(r[1] != "train" for r in rows)
 
@@ -136,16 +135,16 @@ def brute_covered(text, partners):
 
 def test_coverage_of_pairs_and_records(spark):
     letters = [chr(c) for c in range(0x4E00, 0x4E40)]
-    for rows, tuning in ((corpus(7, letters, "", 40), {}), (corpus(8, list("abcdefghij"), "られたらしい", 40), {"floor": 1, "cells": 1 << 10})):
+    for rows, tuning in ((corpus(7, letters, "", 40), {}), (corpus(8, list("abcdefghij"), "られたらしい", 40), {"cells": 1 << 10})):
         texts = {i: o.comparable([r])[0] for i, _, r, _ in rows}
-        pairs = o.cross_split_pairs(spark.createDataFrame(rows, "id string, split string, ref string, hyp string"), **tuning)
-        got, partners = pairs.collect(), {}
+        df = spark.createDataFrame(rows, "id string, split string, ref string, hyp string")
+        got, partners = o.cross_split_pairs(df, **tuning).collect(), {}
         assert got
         for r in got:
             partners.setdefault(r.id_held, []).append(texts[r.id_train])
             assert abs(r.covered - brute_covered(texts[r.id_held], [texts[r.id_train]])) < 1e-9
             assert r.edits or r.covered == 1.0
-        records = {r.id: r.covered for r in o.covered_records(pairs).collect()}
+        records = {r.id: r.covered for r in o.covered_records(df, **tuning).collect()}
         assert records.keys() == partners.keys()
         assert all(abs(records[i] - brute_covered(texts[i], partners[i])) < 1e-9 for i in records)
 
@@ -159,13 +158,68 @@ def test_report_merges_the_runs_of_all_partners(spark):
     df = spark.createDataFrame([(i, s, r, None, i) for i, s, r in rows], "id string, split string, ref string, hyp string, source string")
     pairs = o.cross_split_pairs(df)
     assert {(r.id_held, r.id_train): r.covered for r in pairs.collect()} == {("copy", "t1"): 1.0, ("both", "t2"): 0.9, ("both", "t3"): 0.9, ("one", "t4"): 0.9}
-    assert {r.source: r.mean_covered for r in o.overlap_report(pairs, df).collect()} == {"copy": 1.0, "both": 1.0, "one": 0.9, "none": None}
+    assert {r.source: r.mean_covered for r in o.overlap_report(df).collect()} == {"copy": 1.0, "both": 1.0, "one": 0.9, "none": None}
 
 
 def test_portions():
-    import pyarrow as pa
-
     texts = ["a" * 10, None, "b" * 2000, "", "c" * 5, "d" * 990]
     batch = pa.RecordBatch.from_pydict({"text": texts})
     parts = list(o.portions(iter([batch, batch.slice(0, 0)]), 1000))
     assert [x for p in parts for x in p.column("text").to_pylist()] == texts and len(parts) > 1
+
+
+def test_common_prefixes_and_classes():
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(4, 40))) for _ in range(60)]
+    batch = pa.RecordBatch.from_pydict({"tid": range(60), "text": texts})
+    c = o.Codes(batch)
+    row, at = c.places()
+    suffix = [texts[r][p : p + o.DEPTH] for r, p in zip(row, at - c.at[row])]
+    need = np.array([rng.choice([0, 0, 4, 5, 7, 9]) for _ in row])
+    need = np.where(need <= [len(x) for x in suffix], need, 0)
+    whole = c.prefixes(at, np.where(need > 0, need, o.DEPTH))
+    order = np.lexsort((need, *whole[::-1]))
+    mine = [suffix[i][: need[i] or None] for i in order]
+    assert mine == sorted(mine)
+    common = o.common_prefixes(whole[:, order])
+    for i in range(1, len(mine)):
+        n = 0
+        while n < min(len(mine[i]), len(mine[i - 1])) and mine[i][n] == mine[i - 1][n]:
+            n += 1
+        assert common[i] == (o.DEPTH if mine[i] == mine[i - 1] else n)
+    got = {(int(a), int(b)) for x, y in o.met_in_classes(whole[:, order], need[order], need[order] == 0, 50) for a, b in zip(x, y)}
+    assert got == {(i, j) for i in range(len(mine)) if need[order[i]] for j in range(len(mine)) if not need[order[j]] and mine[j].startswith(mine[i])} != set()
+
+
+def test_runs_survive_packing():
+    rng = np.random.default_rng(12)
+    columns = [rng.integers(0, 1 << 63, 500).astype(k) for k in o.KINDS]
+    assert all((a == b).all() for a, b in zip(columns, o._unpacked_run(o._packed_run(columns), o.KINDS)))
+
+
+def test_ranges_bring_every_prefix_to_its_suffixes():
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(8, 30))) for _ in range(80)]
+    c = o.Codes(pa.RecordBatch.from_pydict({"tid": range(80), "text": texts}))
+    row, at = c.places()
+    prefix, need = c.prefixes(at), np.array([min(4 + i % 7, len(texts[r]) - p) for i, (r, p) in enumerate(zip(row, at - c.at[row]))])
+    spans = c.prefixes(at, need)
+    keys = o._bytes(prefix[0], prefix[1])
+    for ranges in (o.Ranges.planned(keys, *o._bounds(spans, need), 9), o.Ranges.planned(keys, *(x[:40] for x in o._bounds(spans, need)), 300), o.Ranges(np.sort(keys)[::50], np.arange(1, len(keys[::50]) + 2))):
+        held, training = {}, {}
+        for out, (which, part) in ((held, ranges.of_held(keys, c.tid[row])), (training, ranges.of_training(*o._bounds(spans, need), c.tid[row]))):
+            assert (part >= 0).all() and (part < ranges.total).all()
+            for i, k in zip(which.tolist(), part.tolist()):
+                out.setdefault(i, set()).add(k)
+        assert len(held) == len(training) == len(row)
+        for i in range(0, len(row), 7):
+            for j in range(len(row)):
+                if (c.prefixes(at[[j]], need[[i]]) == spans[:, [i]]).all():
+                    # Exactly one task sees the two together.
+                    assert len(training[i] & held[j]) == 1
+
+
+def test_few_suffixes_in_a_range(spark):
+    # Many ranges, hot prefixes that fill several, and a sample that misses most of the order.
+    rows = corpus(14, list("abcdefghij"), "られたらしい", 80)
+    assert found(spark, rows, per_range=60, sample=300) == brute(rows) != set()
