@@ -13,8 +13,9 @@ The array holds every suffix of a held-out text, but of a training text only tho
 training text of ``n`` characters within the wanted distance of a partner differs from it by at most
 ``k = floor(rate * n / (1 - rate))`` edits, so of any ``k + 1`` disjoint spans of it at least one
 stands unchanged in the partner, moved by at most ``k``. A training text therefore gives ``k + 1``
-suffixes, each with the prefix it must have in common: the span up to the next one's start. No pair
-within the distance is lost, however many suffixes share a prefix.
+suffixes, each with the prefix it must have in common: the span up to the next one's start. A pair
+whose lengths allow ``e`` edits shares all its spans but ``e``, so pairs that share fewer are left out
+before any text is fetched. No pair within the distance is lost, however many suffixes share a prefix.
 
 The starts are chosen by dynamic programming so that the spans begin where held-out texts rarely go,
 by a count of the leading grams of all held-out suffixes, folded into a fixed number of cells; this
@@ -53,6 +54,7 @@ RANGE = 1_000_000  # suffixes that one range holds, about
 SAMPLE = 50_000  # suffixes of each side that the splitters are read from, about
 PAIRS = 1 << 20  # pairs of suffixes that are compared at once
 KEEP = re.compile("[^\\w￿]+|_+")
+MET = ["tid_held", "tid_train", "place", "wanted"]
 RUNS = "part int, held boolean, run binary"
 
 
@@ -188,6 +190,14 @@ def stretches(n: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
+def spans_of(n: int, rate: Fraction) -> int:
+    """How many spans a stretch of ``n`` characters gives."""
+    spans = int(edits_allowed(n, rate)) + 1
+    if n < GRAM * spans:
+        raise ValueError(f"texts of {n} characters are too short for spans of {GRAM} at this rate")
+    return spans
+
+
 def chosen_spans(c: Codes, counts: np.ndarray, rate: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, flat start and length of the ``k + 1`` or more disjoint spans of each text of a portion.
 
@@ -198,9 +208,7 @@ def chosen_spans(c: Codes, counts: np.ndarray, rate: Fraction) -> tuple[np.ndarr
     rows, offs, lens = np.array(cuts, np.int64).reshape(-1, 3).T
     out_row, out_at = [], []
     for length in np.unique(lens):
-        spans = int(edits_allowed(length, rate)) + 1
-        if length < GRAM * spans:
-            raise ValueError(f"texts of {length} characters are too short for spans of {GRAM} at this rate")
+        spans = spans_of(int(length), rate)
         alike = np.flatnonzero(lens == length)
         for mine in np.array_split(alike, -(-len(alike) // LOT)):
             base = c.at[rows[mine]] + offs[mine]
@@ -375,7 +383,7 @@ def met_in_classes(prefix: np.ndarray, need: np.ndarray, held: np.ndarray, most:
 
 
 def _cross_split(rate: Fraction):
-    """Merges the runs of each range and gives the texts whose suffixes meet in a class, in about the same place."""
+    """Merges the runs of each range and gives the texts whose suffixes meet in a class, in about the same place, with how many spans must."""
 
     def pairs(runs: list[bytes]) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(x) for x in zip(*(_unpacked_run(r, KINDS) for r in runs))]
@@ -388,9 +396,11 @@ def _cross_split(rate: Fraction):
         for a, b in met_in_classes(prefix, need.astype(np.int64), need == 0):
             most = np.maximum(n[a], n[b]).astype(np.int64) * rate.numerator // rate.denominator
             near = (np.abs(n[a].astype(np.int64) - n[b]) <= most) & (np.abs(place[a].astype(np.int64) - place[b]) <= most)
-            found = np.unique(np.stack([tid[b[near]], tid[a[near]]], 1), axis=0)
+            lengths, which = np.unique(n[a[near]], return_inverse=True)
+            spans = np.array([sum(spans_of(x, rate) for _, x in stretches(int(m))) for m in lengths], np.int64)[which]
+            found = np.unique(np.stack([tid[b[near]], tid[a[near]], place[a[near]], spans - most[near]], 1), axis=0)
             if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], ["tid_held", "tid_train"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found.T], MET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, runs = None, []
@@ -441,7 +451,10 @@ def shared_spans(texts: DataFrame, rate: Fraction = Fraction(15, 100), cells: in
     ranges = Ranges.planned(_bytes(drawn[True][0].view(np.uint64), drawn[True][1].view(np.uint64)), *bounds, wanted)
     runs = [df.mapInArrow(_sorted_runs(held, counts, rate, ranges), RUNS) for held, df in sides.items()]
     met = runs[0].unionByName(runs[1]).repartitionById(ranges.total, "part").sortWithinPartitions("part")
-    return met.mapInArrow(_cross_split(rate), "tid_held bigint, tid_train bigint").distinct()
+    met = met.mapInArrow(_cross_split(rate), ", ".join(f"{x} bigint" for x in MET))
+    # Partitioned by the pair, so that neither step below shuffles again; a span may be met in several tasks.
+    each = met.repartition("tid_held", "tid_train").groupBy("tid_held", "tid_train", "place").agg(F.max("wanted").alias("wanted"))
+    return each.groupBy("tid_held", "tid_train").agg(F.count("*").alias("n"), F.max("wanted").alias("wanted")).filter("n >= wanted").select("tid_held", "tid_train")
 
 
 def common_runs(text: str, partner: str) -> list[tuple[int, int]]:
