@@ -95,7 +95,8 @@ def replicate(documents: DataFrame, plan: DataFrame, key: str, seed: str = "mix"
     known = plan.select(F.col("source").alias("_named"), F.col("folded").alias("_folded"), F.col("base").alias("_base"), F.col("steps").alias("_steps"))
     uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11).cast("double") / F.lit(float(1 << 53))
     count = F.col("_base") + F.size(F.filter("_steps", lambda s: s <= F.col("_u")))
-    rows = documents.withColumn("_folded", fold_name(F.col("source"))).join(known, "_folded")
+    # One row for each named source; the documents stay where they are.
+    rows = documents.withColumn("_folded", fold_name(F.col("source"))).join(F.broadcast(known), "_folded")
     rows = rows.withColumn("_u", uniform).withColumn("_count", count).filter("_count > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_count")))).withColumn("source", F.col("_named"))
     return rows.withColumn("_order", F.xxhash64(F.lit(seed + " order"), key, "copy")).orderBy("_order", key, "copy").drop(*TEMPORARY)

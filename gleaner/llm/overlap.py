@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.skeleton import skeletons
+from gleaner.llm.skeleton import public_letters, skeletons
 from gleaner.session import materialise, ship
 
 GRAM = 4  # least characters of a span; k + 1 disjoint ones fit any text of 15 characters or more
@@ -58,16 +58,16 @@ MET = ["tid_held", "tid_train", "place", "wanted"]
 RUNS = "part int, held boolean, run binary"
 
 
-def comparable(texts: list[str | None]) -> list[str]:
+def comparable(texts: list[str | None], public: str = "") -> list[str]:
     """Consistent form, lower case, letters and digits only; null counts as empty."""
-    whole = "￿".join(x.replace("￿", "") if x else "" for x in skeletons(texts, compose=True))
+    whole = "￿".join(x.replace("￿", "") if x else "" for x in skeletons(texts, True, public))
     return KEEP.sub("", whole.lower()).split("￿") if texts else []
 
 
-def _normalise(min_len: int):
+def _normalise(min_len: int, public: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = comparable(b.column("text").to_pylist())
+            texts = comparable(b.column("text").to_pylist(), public)
             done = pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(texts, pa.string())], ["id", "held_out", "text"])
             yield done.filter(pa.array([len(x) >= min_len for x in texts], pa.bool_()))
 
@@ -501,7 +501,7 @@ def held_out_records(utterances: DataFrame, min_len: int = 15) -> DataFrame:
     rows = utterances.filter("id is not null and split in ('train', 'dev', 'eval')")
     text = F.when(F.length("ref") > 0, F.col("ref")).otherwise(F.col("hyp"))
     rows = rows.select("id", (F.col("split") != "train").alias("held_out"), text.alias("text"))
-    return rows.mapInArrow(_normalise(min_len), "id string, held_out boolean, text string")
+    return rows.mapInArrow(_normalise(min_len, public_letters(utterances.sparkSession)), "id string, held_out boolean, text string")
 
 
 def _near_records(utterances: DataFrame, rate: Fraction, min_len: int, tuning: dict) -> tuple[DataFrame, DataFrame]:

@@ -19,9 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.session import materialise
+from gleaner.session import materialise, ship
 
-SHARD = 20_000
+SHARD = 5_000
 PLACES = "container string, item {key}, part int, place int, size int"
 
 
@@ -110,19 +110,32 @@ def _pack_shard(capacity: int):
     return run
 
 
+def counted_items(items: DataFrame, key: str, size: str) -> DataFrame:
+    """``item, size, n``: equal items with their number, written once for any number of capacities.
+
+    A null or negative size counts as 0.
+    """
+    ship(items.sparkSession)
+    rows = items.select(F.col(key).alias("item"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("int").alias("size"))
+    return materialise(rows.groupBy("item", "size").agg(F.count("*").alias("n")), "sizes")
+
+
 def pack(items: DataFrame, key: str, size: str, capacity: int, shard_items: int = SHARD) -> DataFrame:
+    """The places of ``pack_counted`` for plain items, one row each."""
+    return pack_counted(counted_items(items, key, size), capacity, shard_items)
+
+
+def pack_counted(counted: DataFrame, capacity: int, shard_items: int = SHARD) -> DataFrame:
     """``container, item, part, place, size``: where each item, or part of an oversized one, lies.
 
     ``part`` numbers the pieces of an item from 0, each but the last as large as the capacity.
-    A null or negative size counts as 0; an item of size 0 takes a place but no room. Repeated keys
+    ``counted`` is what ``counted_items`` gives. An item of size 0 takes a place but no room. Repeated keys
     are items of their own, told apart by a running copy number. Empty input gives an empty result.
     """
     if capacity < 1:
         raise ValueError("the capacity must be 1 or more")
-    kind = dict(items.dtypes)[key]
-    rows = items.select(F.col(key).alias("item"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("int").alias("size"))
-    # Equal rows are counted first and told apart by number, so a key with very many rows is spread over the shards.
-    counted = materialise(rows.groupBy("item", "size").agg(F.count("*").alias("n")), "sizes")
+    kind = dict(counted.dtypes)["item"]
+    # Equal items are counted first and told apart by number, so a key with very many rows is spread over the shards.
     shards = max(1, -(-(counted.agg(F.sum("n")).first()[0] or 0) // shard_items))
     each = counted.select("item", "size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("copy"))
     sharded = each.withColumn("shard", F.pmod(F.xxhash64("item", "size", "copy"), F.lit(shards)).cast("int"))

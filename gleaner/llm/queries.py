@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,18 +89,25 @@ def _limits(spark: SparkSession, sf: str, kind: str) -> list[tuple[str, int, int
 
 
 def _packed(spark: SparkSession, sf: str) -> list[tuple[str, int, DataFrame]]:
-    sizes = materialise(with_tokens(spread(table(spark, sf, "documents", "doc_id", "text")), keep_text=False), "tokens")
-    return [(name, most, packing.pack(sizes, "doc_id", "n_tokens", most)) for name, most, _ in _limits(spark, sf, "pack_")]
+    sizes = with_tokens(spread(table(spark, sf, "documents", "doc_id", "text")), keep_text=False)
+    counted = packing.counted_items(sizes, "doc_id", "n_tokens")
+    return [(name, most, packing.pack_counted(counted, most)) for name, most, _ in _limits(spark, sf, "pack_")]
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    if not parts:
+        raise ValueError("size_limit has no pack_ row")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def p5_containers(spark: SparkSession, sf: str) -> DataFrame:
     out = [places.select(F.lit(name).alias("limit_name"), "container", F.col("item").alias("doc_id"), "part", "place", F.col("size").alias("n_tokens")) for name, _, places in _packed(spark, sf)]
-    return out[0].unionByName(out[1])
+    return _all(out)
 
 
 def p5_fill(spark: SparkSession, sf: str) -> DataFrame:
     out = [packing.fill_report(places, most).withColumn("limit_name", F.lit(name)) for name, most, places in _packed(spark, sf)]
-    return out[0].unionByName(out[1])
+    return _all(out)
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

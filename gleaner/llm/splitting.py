@@ -21,34 +21,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.tokens import FOLDER, VOCABULARY, encoder
+from gleaner.session import ship
 
 LINE = "\n\x0b\x0c\r\x85\u2028\u2029"
 MARK = f"(?:[{LINE}。！？｡!?]|\\.(?=\\s|\\Z))"
-BOUNDARIES = re.compile(f"{MARK}+")
+ONE = re.compile(MARK)
 CLOSED = re.compile(f"(?:{MARK}[」』）】)\"'”’]*)+")
 BREAK = re.compile(f"\r\n|[{LINE}]")
 ALIGN = 3  # a character has at most four bytes, so at most three tokens begin within it
 PIECES = "limit_name string, piece int, start int, end int, n_tokens int, cut string, text string"
 
 
-def boundaries(text: str, closers: bool = True) -> tuple[list[int], list[int]]:
+def boundaries(text: str) -> tuple[list[int], list[int]]:
     """Where a cut may stand and how strong it is: 3 paragraph, 2 line, 1 sentence.
 
-    With ``closers`` closing brackets and quotes stay with the sentence they close.
+    Closing brackets and quotes stay with the sentence they close.
     """
     at, strength = [], []
-    for m in (CLOSED if closers else BOUNDARIES).finditer(text):
+    for m in CLOSED.finditer(text):
         at.append(m.end())
         strength.append(1 + min(2, len(BREAK.findall(m.group()))))
     return at, strength
 
 
-def longest_stretch(text: str) -> int:
-    """The most characters in a row that hold no boundary."""
-    longest = last = 0
-    for m in BOUNDARIES.finditer(text):
-        longest, last = max(longest, m.start() - last), m.end()
-    return max(longest, len(text) - last)
+def edges(text: str) -> list[int]:
+    """Where text and boundary characters meet, so that what lies between two neighbours holds no boundary or is one."""
+    return sorted({x for m in ONE.finditer(text) for x in m.span()})
+
+
+def longest_stretch(done: list[tuple[int, int, str]]) -> int:
+    """The longest stretch of ``bisected`` pieces that only cuts without a boundary part; 0 without such a cut."""
+    longest = begun = 0
+    for (_, end, cut), before in zip(done, [None, *done]):
+        if before is None or before[2] != "hard":
+            begun = before[1] if before else 0
+        elif cut != "hard":
+            longest = max(longest, end - begun)
+    return longest
 
 
 def bisected(size: int, at: list[int], strength: list[int], limit: int, allowed: np.ndarray | None = None) -> list[tuple[int, int, str]]:
@@ -169,6 +178,7 @@ def split_texts(documents: DataFrame, key: str, text: str, limits: list[tuple[st
     other columns are left out. A key named like another output comes out as ``key``.
     """
     named = "key" if f"{key} " in PIECES else key
+    ship(documents.sparkSession)
     kind = dict(documents.dtypes)[key]
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null")
     return rows.mapInArrow(_split(limits, folder, vocabulary), f"key {kind}, {PIECES}").withColumnRenamed("key", named)
@@ -179,8 +189,8 @@ def _unbroken(limit: int):
         for b in batches:
             keep, stretch = [], []
             for k, x in enumerate(b.column("text").to_pylist()):
-                at, strength = boundaries(x, closers=False)
-                if any(cut == "hard" for _, _, cut in bisected(len(x), at, strength, limit)) and (n := longest_stretch(x)) > limit:
+                at = edges(x)
+                if n := longest_stretch(bisected(len(x), at, [1] * len(at), limit)):
                     keep.append(k), stretch.append(n)
             yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(keep, pa.int64())), pa.array(stretch, pa.int32())], ["key", "stretch"])
 
@@ -192,6 +202,7 @@ def unbroken_texts(documents: DataFrame, key: str, text: str, limit: int) -> Dat
 
     ``stretch`` is the longest run of characters without one. Repeated keys come out once for each row.
     """
+    ship(documents.sparkSession)
     kind = dict(documents.dtypes)[key]
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") > limit)
     return rows.mapInArrow(_unbroken(limit), f"key {kind}, stretch int").withColumnRenamed("key", "key" if key == "stretch" else key)

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from gleaner.session import ship
+
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that cuts a text before byte pairs are merged, as published with the vocabulary.
@@ -49,6 +51,7 @@ def with_tokens(df: DataFrame, text: str = "text", output: str = "n_tokens", fol
     With ``keep_text`` false the text itself is dropped, so that it isn't sent back from Python. A
     column that has the output's name is replaced.
     """
+    ship(df.sparkSession)
     df = df.drop(output)
     fields = [f for f in df.schema.fields if keep_text or f.name != text]
     return df.mapInArrow(_sizes(text, output, folder, vocabulary, keep_text), T.StructType([*fields, T.StructField(output, T.IntegerType())]))

@@ -50,3 +50,10 @@ def test_empty(spark):
     assert plan.count() == 4 and plan.filter("short").count() == 0
     assert m.replicate(documents, plan, "doc").count() == 0
     assert m.mixing_plan(documents, targets.limit(0), "n").count() == 0
+
+
+def test_documents_stay_where_they_are(spark):
+    documents, targets = tables(spark, [(i, "aa", 10, "x", 1) for i in range(9)])
+    mixed = m.replicate(documents, m.mixing_plan(documents, targets, "n"), "doc")
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan and "leftHint" not in plan

@@ -1,3 +1,4 @@
+import re
 import random
 
 from gleaner.llm import splitting as s
@@ -10,7 +11,10 @@ LIMITS = [("small", 64, 8), ("large", 256, 32), ("plain", 128, 0)]
 def test_boundaries():
     at, strength = s.boundaries("一。二！\n三\n\n四 3.5 end. 五「は。」六")
     assert strength == [1, 2, 3, 1, 1]
-    assert s.longest_stretch("ab。cde. f") == 3 and s.longest_stretch("") == 0 and s.longest_stretch("a.b") == 3
+    assert s.edges("ab。cde. f") == [2, 3, 6, 7] and s.edges("") == [] and s.edges("a.b。") == [3, 4]
+    for text, limit, longest in (("ab。cde. f", 2, 3), ("ab。cde. f", 3, 0), ("a.b", 1, 3), ("", 1, 0), ("\n\n\n", 1, 0), ("abcdefg。xy", 3, 7), ("x。abcdefg", 2, 7)):
+        at = s.edges(text)
+        assert s.longest_stretch(s.bisected(len(text), at, [1] * len(at), limit)) == longest
     assert s.longest_stretch("abc.") == 3 and s.longest_stretch("aa\u2028bbb") == 3
 
 
@@ -52,15 +56,19 @@ def test_pieces(spark):
     assert "key" in s.split_texts(df, "piece", "text", LIMITS).columns
 
 
+def stretch(text):
+    return max(map(len, re.split("[\n\x0b\x0c\r\x85\u2028\u2029。！？｡!?]|\\.(?=\\s|\\Z)", text)))
+
+
 def test_unbroken(spark):
     rng = random.Random(3)
     texts = []
     for n in (1199, 1200, 1201, 1300):
         texts += ["あ" * n, "文。" * 50 + "あ" * n + "。終", "あ" * n + "\n" + "い" * n, "い」" + "あ" * (n - 2), "a." * (n // 2) + "b" * (n % 2)]
-    texts += ["".join(rng.choice("あいう。\n") for _ in range(5000)), "", None, "x" * 100_000]
+    texts += ["".join(rng.choice("あいう。\n") for _ in range(5000)), "", None, "x" * 100_000, "\n" * 3000, "。" * 1300 + "あ" * 1201, "あ" * 1250 + "。" + "い" * 4000 + "。\n" + "う" * 1199]
     df = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
     got = {r.doc: r.stretch for r in s.unbroken_texts(df, "doc", "text", 1200).collect()}
-    assert got == {i: s.longest_stretch(t) for i, t in enumerate(texts) if t and s.longest_stretch(t) > 1200}
+    assert got == {i: stretch(t) for i, t in enumerate(texts) if t and stretch(t) > 1200}
     assert s.unbroken_texts(df.limit(0), "doc", "text", 1200).count() == 0
 
 
