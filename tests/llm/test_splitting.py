@@ -15,7 +15,6 @@ def test_boundaries():
     for text, limit, longest in (("ab。cde. f", 2, 3), ("ab。cde. f", 3, 0), ("a.b", 1, 3), ("", 1, 0), ("\n\n\n", 1, 0), ("abcdefg。xy", 3, 7), ("x。abcdefg", 2, 7)):
         at = s.edges(text)
         assert s.longest_stretch(s.bisected(len(text), at, [1] * len(at), limit)) == longest
-    assert s.longest_stretch("abc.") == 3 and s.longest_stretch("aa\u2028bbb") == 3
 
 
 def test_bisection():
