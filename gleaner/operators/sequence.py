@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gleaner.session import materialise
+from gleaner.session import materialise, ship
 
 
 def collapsed(symbols: Column, blank: str) -> Column:
@@ -68,6 +70,7 @@ def ordered_digest(df: DataFrame, keys: list[str], order: list[str], value: str)
     The digest is a chain by definition, so a key's rows pass one task; they stream through it sorted,
     and only the state of the digest is held.
     """
+    ship(df.sparkSession)
     kinds = dict(df.dtypes)
     streamed = df.select(*keys, *order, F.coalesce(value, F.lit("")).alias("_value")).repartition(*keys).sortWithinPartitions(*keys, *order)
 
@@ -124,91 +127,148 @@ def within(points: DataFrame, spans: DataFrame, keys: list[str], x: str, low: st
     return p.join(s, [*keys, "_b"]).filter((F.col(x) >= F.col(low)) & (F.col(x) < F.col(high))).drop("_b")
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str], schema: str, start: Callable[[], dict], step: Callable[[dict, dict], dict | None]) -> DataFrame:
-    """A sequential fold within each key: ``step(state, row)`` changes the state and may give a row.
+def fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], outputs: str, start: Callable[[], list], step: Callable[..., tuple | None]) -> DataFrame:
+    """A sequential fold within each key: ``step(state, *inputs)`` changes the state and gives the row's outputs, or None to drop it.
 
-    Rows of a key arrive sorted and stream through the task; only the state is held. Keys must be of
-    bounded size (a run, a pool), as a fold can't be spread over tasks.
+    ``outputs`` names and types the columns it adds. Rows of a key arrive sorted and stream through the
+    task; only the state is held. Keys must be of bounded size (a run, a pool), as a fold can't be
+    spread over tasks.
     """
+    ship(df.sparkSession)
     sorted_rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    names = [f.split()[0] for f in outputs.split(",") if f.strip()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = None, start()
         for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                key = tuple(row[k] for k in keys)
-                if key != last:
-                    last, state = key, start()
-                made = step(state, row)
-                if made is not None:
-                    out.append(made)
-            if out:
-                yield pd.DataFrame(out)
-
-    return sorted_rows.mapInPandas(run, schema)
+            if pdf.empty:
+                continue
+            fresh = pd.concat([pdf[k].ne(pdf[k].shift()) & ~(pdf[k].isna() & pdf[k].shift().isna()) for k in keys], axis=1).any(axis=1).tolist()
+            first = tuple(None if pd.isna(x) else x for x in pdf[keys].iloc[0])
+            fresh[0] = first != last
+            kept, made = [], []
+            for i, (new, *values) in enumerate(zip(fresh, *(pdf[c].tolist() for c in inputs))):
+                if new:
+                    state = start()
+                out = step(state, *values)
+                if out is not None:
+                    kept.append(i), made.append(out)
+            last = tuple(None if pd.isna(x) else x for x in pdf[keys].iloc[-1])
+            if kept:
+                out = pdf.iloc[kept].reset_index(drop=True)
+                for j, name in enumerate(names):
+                    out[name] = pd.Series([m[j] for m in made], dtype=object)
+                yield out
+
+    fields = [f for f in df.schema.fields if f.name not in names] + T._parse_datatype_string(outputs).fields if names else df.schema.fields
+    return sorted_rows.drop(*names).mapInPandas(run, T.StructType(fields))
 
 
 def thinned(df: DataFrame, keys: list[str], order: list[str], x: str, gap: float) -> DataFrame:
-    """Rows at least ``gap`` after the last row that was kept."""
+    """Rows at least ``gap`` after the last row that was kept; a row without ``x``, or after one kept without it, is kept."""
 
-    def step(state: dict, row: dict) -> dict | None:
-        if state.get("last") is not None and row[x] - state["last"] < gap:
+    def step(state: list, value) -> tuple | None:
+        known = value is not None and value == value
+        if known and state[0] is not None and value - state[0] < gap:
             return None
-        state["last"] = row[x]
-        return row
+        state[0] = value if known else None
+        return ()
+
+    return fold(df, keys, order, [x], "", lambda: [None], step)
+
 
-    return fold(df, keys, order, df.schema.simpleString()[7:-1], dict, step)
+def patience(df: DataFrame, keys: list[str], order: list[str], x: str, most: int, absolute: float = 0.0, relative: float = 0.0, floor: float | None = None, least: int = 0) -> DataFrame:
+    """``best, since, evals, trigger`` of a series that should fall.
 
+    A value improves on the best so far if it is below it by more than the greater of ``absolute`` and
+    ``relative`` times the best's magnitude; the first finite one always does. A missing value or one
+    that isn't finite never does, and counts in ``since`` like any other. From ``least`` values on,
+    ``trigger`` is ``floor`` where the value is at ``floor`` or below, else ``patience`` where ``most``
+    values in a row brought no improvement.
+    """
+    return fold(df, keys, order, [x], "best double, since int, evals int, trigger string", lambda: [None, 0, 0], patience_step(most, absolute, relative, floor, least))
 
-def patience(df: DataFrame, keys: list[str], order: list[str], x: str, delta: float, most: int) -> DataFrame:
-    """Best value so far, steps since it improved by ``delta``, and whether patience has run out."""
 
-    def step(state: dict, row: dict) -> dict:
-        v = row[x]
-        if v is not None and v == v:
-            if state.get("best") is None or v < state["best"] - delta:
-                state["best"], state["since"] = v, 0
-            else:
-                state["since"] += 1
-        return {**row, "best": state.get("best"), "since": state.get("since", 0), "stop": state.get("since", 0) >= most}
+def patience_step(most: int, absolute: float, relative: float, floor: float | None, least: int) -> Callable[..., tuple]:
+    def step(state: list, value: float | None) -> tuple:
+        best, since, evals = state
+        finite = value is not None and math.isfinite(value)
+        since, evals = since + 1, evals + 1
+        if finite and (best is None or best - value > max(absolute, relative * abs(best))):
+            best, since = value, 0
+        state[:] = best, since, evals
+        trigger = None
+        if evals >= least:
+            trigger = "floor" if floor is not None and finite and value <= floor else "patience" if since >= most else None
+        return best, since, evals, trigger
 
-    return fold(df, keys, order, f"{df.schema.simpleString()[7:-1]},best double,since int,stop boolean", dict, step)
+    return step
 
 
 def chunked(df: DataFrame, keys: list[str], order: list[str], size: str, limit: float) -> DataFrame:
     """A chunk closes when its total reaches the limit; adds ``chunk``."""
 
-    def step(state: dict, row: dict) -> dict:
-        chunk = state.get("chunk", 0)
-        total = state.get("total", 0.0) + row[size]
-        state["chunk"], state["total"] = (chunk + 1, 0.0) if total >= limit else (chunk, total)
-        return {**row, "chunk": chunk}
+    def step(state: list, value: float) -> tuple:
+        chunk, total = state[0], state[1] + value
+        state[:] = (chunk + 1, 0) if total >= limit else (chunk, total)
+        return (chunk,)
+
+    return fold(df, keys, order, [size], "chunk int", lambda: [0, 0], step)
+
+
+def packed_batches(df: DataFrame, keys: list[str], order: list[str], sizes: dict[str, float]) -> DataFrame:
+    """Greedy batches: a new one begins where the largest of any size, times the rows, would exceed its cap; adds ``batch``.
+
+    A row over a cap by itself has a batch of its own.
+    """
+    caps = list(sizes.values())
+
+    def step(state: list, *values: float) -> tuple:
+        batch, n, largest = state
+        grown = [max(a, b) for a, b in zip(largest, values)] if n else list(values)
+        if n and any(g * (n + 1) > cap for g, cap in zip(grown, caps)):
+            batch, n, grown = batch + 1, 0, list(values)
+        state[:] = batch, n + 1, grown
+        return (batch,)
+
+    return fold(df, keys, order, list(sizes), "batch int", lambda: [0, 0, []], step)
+
+
+def filled_batches(df: DataFrame, keys: list[str], order: list[str], sizes: dict[str, float]) -> DataFrame:
+    """Batches of rows in order: a new one begins where the total of any size would exceed its cap; adds ``batch``."""
+    caps = list(sizes.values())
+
+    def step(state: list, *values: float) -> tuple:
+        batch, n, total = state
+        grown = [a + b for a, b in zip(total, values)] if n else list(values)
+        if n and any(g > cap for g, cap in zip(grown, caps)):
+            batch, n, grown = batch + 1, 0, list(values)
+        state[:] = batch, n + 1, grown
+        return (batch,)
 
-    return fold(df, keys, order, f"{df.schema.simpleString()[7:-1]},chunk int", dict, step)
+    return fold(df, keys, order, list(sizes), "batch int", lambda: [0, 0, []], step)
 
 
-def packed_batches(df: DataFrame, keys: list[str], order: list[str], size: str, cap: float) -> DataFrame:
-    """Greedy batches: a new one begins where the longest size times the rows would exceed the cap; adds ``batch``."""
+def grouped_steps(df: DataFrame, keys: list[str], order: list[str], size: str, target: float) -> DataFrame:
+    """Rows in order grouped into steps of about ``target``: one ends where half of the next row would overshoot; adds ``step``."""
 
-    def step(state: dict, row: dict) -> dict:
-        longest, n = max(state.get("longest", 0.0), row[size]), state.get("n", 0)
-        if n and longest * (n + 1) > cap:
-            state["batch"], longest, n = state.get("batch", 0) + 1, row[size], 0
-        state["longest"], state["n"] = longest, n + 1
-        return {**row, "batch": state.get("batch", 0)}
+    def step(state: list, value: float) -> tuple:
+        number, n, total = state
+        if n and total + value / 2 > target:
+            number, n, total = number + 1, 0, 0
+        state[:] = number, n + 1, total + value
+        return (number,)
 
-    return fold(df, keys, order, f"{df.schema.simpleString()[7:-1]},batch int", dict, step)
+    return fold(df, keys, order, [size], "step int", lambda: [0, 0, 0], step)
 
 
 def skip_fit(df: DataFrame, keys: list[str], order: list[str], size: str, budget: float) -> DataFrame:
     """Rows in order, each taken if it still fits the budget of its key."""
 
-    def step(state: dict, row: dict) -> dict | None:
-        used = state.get("used", 0.0)
-        if used + row[size] > budget:
+    def step(state: list, value: float) -> tuple | None:
+        if state[0] + value > budget:
             return None
-        state["used"] = used + row[size]
-        return row
+        state[0] += value
+        return ()
 
-    return fold(df, keys, order, df.schema.simpleString()[7:-1], dict, step)
+    return fold(df, keys, order, [size], "", lambda: [0], step)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import more, relations, reports, runs, scores, selection, values
+from gleaner.plans import batches, more, relations, reports, runs, scores, selection, values
 
 FLAGSHIP = "rule03_cascade"
-MODULES = (selection, relations, runs, scores, values, reports, more)
+MODULES = (selection, relations, runs, batches, scores, values, reports, more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

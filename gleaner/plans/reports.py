@@ -159,21 +159,6 @@ def g02_extent(spark, sf):
     return o.groupBy("source").agg(F.array_join(F.transform(inputs, lambda x: F.concat(x.ordinal.cast("string"), F.lit(":"), x.path)), ",").alias("inputs"))
 
 
-@query()
-def w26_commit_batches(spark, sf):
-    """Units in order, packed under a count and a size limit, within hash pools of bounded size."""
-    df = table(spark, sf, "documents", "doc_id", "n_chars").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.expr("doc_id div 20000").alias("pool"))
-
-    def step(state, row):
-        n, size = state.get("n", 0) + 1, state.get("size", 0) + row["n_chars"]
-        if n > 1 and (n > 50 or size > 20_000):
-            state["batch"], n, size = state.get("batch", 0) + 1, 1, row["n_chars"]
-        state["n"], state["size"] = n, size
-        return {**row, "batch": state.get("batch", 0)}
-
-    return sequence.fold(df, ["pool"], ["doc_id"], "doc_id bigint, n_chars bigint, pool bigint, batch int", dict, step)
-
-
 @query("select vec_id, list_concat(list_slice(embedding, 1, 8), list_slice(embedding, 57, 64)) as joined from embeddings")
 def w30_cut_and_join(spark, sf):
     """Slices of a sequence cut out and joined."""

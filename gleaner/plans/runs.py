@@ -285,55 +285,6 @@ def w12_pair_with_buffers(spark, sf):
     return near.select("source", "stem", F.when(F.expr("k in (pick, pick + 1)"), "pair").otherwise("buffer").alias("kind"))
 
 
-@query()
-def w10_skip_fit(spark, sf):
-    """In hash order within each source, every row that still fits 600 seconds."""
-    df = utterances(spark, sf, "id", "source", "duration").select("id", "source", F.col("duration").cast("double").alias("duration"), _hash("fit").alias("h"))
-    return sequence.skip_fit(df, ["source"], ["h", "id"], "duration", 600.0).select("source", "id", "duration")
-
-
-@query()
-def w13_patience(spark, sf):
-    """Best so far and patience, run by run."""
-    df = log(spark, sf, "run_key", "tag", "step", "value").filter("tag = 'train/loss'").select("run_key", "step", "value")
-    return sequence.patience(df, ["run_key"], ["step"], "value", 0.001, 10)
-
-
-@query()
-def w15_thinned(spark, sf):
-    """Records at least five steps after the last one kept."""
-    df = log(spark, sf, "run_key", "tag", "step", "value").select("run_key", "tag", "step", "value")
-    return sequence.thinned(df, ["run_key", "tag"], ["step"], "step", 5)
-
-
-def _pools(spark, sf, seconds: float):
-    """Utterances in hash order cut into pools of so many seconds, each of bounded size."""
-    df = utterances(spark, sf, "id", "duration").select("id", F.col("duration").cast("decimal(12,3)").alias("d"), _hash("epoch").alias("h"))
-    df = sequence.running_total(df, ["h", "id"], "d").withColumn("pool", F.floor((F.col("upto") - F.col("d")).cast("double") / seconds))
-    return df.select("pool", "id", "h", F.col("d").cast("double").alias("duration"))
-
-
-@query()
-def w22_chunks(spark, sf):
-    """Chunks that close when their seconds reach a limit, within pools."""
-    return sequence.chunked(_pools(spark, sf, 3600.0), ["pool"], ["h", "id"], "duration", 100.0).select("pool", "id", "chunk")
-
-
-@query()
-def w23_micro_batches(spark, sf):
-    """Pools by running seconds, sorted by length, packed by padded cost."""
-    df = _pools(spark, sf, 3600.0).withColumn("longest_first", -F.col("duration"))
-    return sequence.packed_batches(df, ["pool"], ["longest_first", "id"], "duration", 100.0).select("pool", "batch", "id", "duration")
-
-
-@query()
-def a28_padding(spark, sf):
-    """Real and padded seconds of each pool, and its longest batch."""
-    each = w23_micro_batches(spark, sf).groupBy("pool", "batch").agg(F.count("*").alias("n"), F.sum("duration").alias("real"), F.max("duration").alias("longest"))
-    each = each.withColumn("padded", F.col("n") * F.col("longest"))
-    return each.groupBy("pool").agg(F.count("*").alias("n_batches"), F.round(F.sum("real"), 3).alias("real"), F.round(F.sum("padded"), 3).alias("padded"), F.max_by("batch", F.struct("padded", "batch")).alias("largest_batch"))
-
-
 @query("""select id, cast(floor(w) + case when u < w - floor(w) then 1 else 0 end as bigint) as n from (select id, duration / 4.0 as w, cast(('0x' || substr(sha256('rep' || id), 1, 8)) as bigint) / 4294967296.0 as u from (select id, cast(min(duration) as double) as duration from utt_index group by id)) where floor(w) + case when u < w - floor(w) then 1 else 0 end > 0""")
 def t10_stochastic_repeat(spark, sf):
     """floor(w) copies and one more with the probability of the rest, from a hash."""

@@ -69,7 +69,7 @@ def test_chunks_and_batches(numbers):
             n, longest = n + 1, max(longest, x)
             batches[k, i] = batch
     assert {(r.k, r.i): r.chunk for r in s.chunked(df, ["k"], ["i"], "x", 20).collect()} == chunks
-    assert {(r.k, r.i): r.batch for r in s.packed_batches(df, ["k"], ["i"], "x", 30).collect()} == batches
+    assert {(r.k, r.i): r.batch for r in s.packed_batches(df, ["k"], ["i"], {"x": 30}).collect()} == batches
 
 
 def test_patience(numbers):
@@ -77,10 +77,35 @@ def test_patience(numbers):
     want = {}
     for k, own in by_key(rows).items():
         best, since = None, 0
-        for i, x in own:
-            best, since = (x, 0) if best is None or x < best - 0.1 else (best, since + 1)
-            want[k, i] = (best, since, since >= 5)
-    assert {(r.k, r.i): (r.best, r.since, r.stop) for r in s.patience(df, ["k"], ["i"], "x", 0.1, 5).collect()} == want
+        for n, (i, x) in enumerate(own):
+            best, since = (x, 0) if best is None or best - x > 0.1 else (best, since + 1)
+            want[k, i] = (best, since, n + 1, "patience" if n >= 2 and since >= 5 else None)
+    assert {(r.k, r.i): (r.best, r.since, r.evals, r.trigger) for r in s.patience(df, ["k"], ["i"], "x", 5, 0.1, least=3).collect()} == want
+
+
+def test_patience_of_odd_values(spark):
+    inf = float("inf")
+    rows = [("a", i, x) for i, x in enumerate([None, 5.0, float("nan"), -inf, 4.99, 4.9, inf, None, 0.4])] + [(None, 0, None), (None, 1, 1.0)]
+    df = spark.createDataFrame(rows, "k string, i int, x double")
+    got = {(r.k, r.i): (r.best, r.since, r.trigger) for r in s.patience(df, ["k"], ["i"], "x", 3, 0.001, 0.01, 0.5, 2).collect()}
+    assert got == {
+        ("a", 0): (None, 1, None), ("a", 1): (5.0, 0, None), ("a", 2): (5.0, 1, None), ("a", 3): (5.0, 2, None), ("a", 4): (5.0, 3, "patience"), ("a", 5): (4.9, 0, None),
+        ("a", 6): (4.9, 1, None), ("a", 7): (4.9, 2, None), ("a", 8): (0.4, 0, "floor"), (None, 0): (None, 1, None), (None, 1): (1.0, 0, None),
+    }
+    assert s.patience(df.limit(0), ["k"], ["i"], "x", 3).count() == 0
+    assert "best" in s.patience(df.selectExpr("*", "'x' as best"), ["k"], ["i"], "x", 3).columns
+
+
+def test_thinned_keeps_rows_without_a_place(spark):
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 2.0), ("a", 2, None), ("a", 3, 2.5), ("a", 4, 3.0), ("a", 5, 9.0)], "k string, i int, x double")
+    assert sorted(r.i for r in s.thinned(df, ["k"], ["i"], "x", 2).collect()) == [0, 2, 3, 5]
+
+
+def test_batches_under_several_caps(spark):
+    df = spark.createDataFrame([("a", i, a, b) for i, (a, b) in enumerate([(5, 1), (4, 9), (3, 1), (30, 1), (1, 1), (1, 1)])], "k string, i int, a int, b int")
+    assert [r.batch for r in s.packed_batches(df, ["k"], ["i"], {"a": 12, "b": 15}).orderBy("i").collect()] == [0, 1, 2, 3, 4, 4]
+    assert [r.batch for r in s.filled_batches(df, ["k"], ["i"], {"a": 9, "b": 10}).orderBy("i").collect()] == [0, 0, 1, 2, 3, 3]
+    assert [r.step for r in s.grouped_steps(df, ["k"], ["i"], "a", 10).orderBy("i").collect()] == [0, 0, 0, 1, 2, 2]
 
 
 def test_collapse(spark):
