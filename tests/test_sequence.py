@@ -105,7 +105,7 @@ def test_batches_under_several_caps(spark):
     df = spark.createDataFrame([("a", i, a, b) for i, (a, b) in enumerate([(5, 1), (4, 9), (3, 1), (30, 1), (1, 1), (1, 1)])], "k string, i int, a int, b int")
     assert [r.batch for r in s.packed_batches(df, ["k"], ["i"], {"a": 12, "b": 15}).orderBy("i").collect()] == [0, 1, 2, 3, 4, 4]
     assert [r.batch for r in s.filled_batches(df, ["k"], ["i"], {"a": 9, "b": 10}).orderBy("i").collect()] == [0, 0, 1, 2, 3, 3]
-    assert [r.step for r in s.grouped_steps(df, ["k"], ["i"], "a", 10).orderBy("i").collect()] == [0, 0, 0, 1, 2, 2]
+    assert [r.step for r in s.grouped_steps(df, ["k"], ["i"], "a", 10).orderBy("i").collect()] == [0, 0, 1, 2, 3, 3]
 
 
 def test_collapse(spark):
