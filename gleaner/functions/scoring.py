@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.session import ship
+
 # Fixed values.
 NUMERAL_KANJI = "〇零一二三四五六七八九十百千万億兆"
 STYLE_KINDS = ("numeral", "hira<->kata", "kanji->kana", "kana->kanji", "kana-other")
@@ -152,6 +154,7 @@ def with_scores(df: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
 
     Null counts as empty. An empty reference scores its hypothesis as insertions and has no regions.
     """
+    ship(df.sparkSession)
     fields = [f for f in df.schema.fields if f.name not in (ref, hyp)]
     added = T._parse_datatype_string(SCORES).fields
     return df.mapInArrow(_score(ref, hyp), T.StructType([*fields, *added]))
@@ -217,11 +220,42 @@ def ensure_scores(df: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFram
 
 
 def piece_text(piece: Column) -> Column:
-    """The text of a word piece: its marker is a blank, and a byte piece a placeholder of one character."""
-    return F.when(piece.rlike("^<0x[0-9A-Fa-f]{2}>$"), F.lit("�")).otherwise(F.replace(piece, F.lit("▁"), F.lit(" ")))
+    """The text of a word piece: without its word marker; a byte piece is a placeholder of one character, a special token nothing."""
+    return F.when(piece.rlike("^<0x.*>$"), F.lit("�")).when(piece.rlike("^<.*>$"), F.lit("")).otherwise(F.replace(piece, F.lit("▁"), F.lit("")))
+
+
+def kept_places(text: Column) -> Column:
+    """Places, from 0, of the characters that are compared: no punctuation, no separators, no blanks."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    marked = F.transform(chars, lambda c, i: F.when(~c.rlike("[\\p{P}\\p{Z}\\s]"), i))
+    return F.array_compact(marked)
 
 
 def piece_spans(pieces: Column) -> Column:
     """``start, end`` of each piece in the joined text, from running lengths."""
     size = lambda upto: F.aggregate(F.slice(pieces, F.lit(1), upto), F.lit(0), lambda acc, p: acc + F.length(piece_text(p)))
     return F.transform(pieces, lambda p, i: F.struct(size(i).alias("start"), (size(i) + F.length(piece_text(p))).alias("end")))
+
+
+KEPT = "filter(split({0}, ''), c -> c != '' and not c rlike '[\\\\p{{P}}\\\\p{{Z}}\\\\s]')"
+
+
+def matched_runs(df: DataFrame, ref: str, hyp: str, least: int) -> DataFrame:
+    """``at, at_hyp, n`` beside the other columns: the equal runs of ``least`` or more compared characters, one row each.
+
+    Both texts are taken without punctuation, separators and blanks, and aligned by insertions and
+    deletions alone; places count compared characters from 0. Null counts as empty.
+    """
+    ship(df.sparkSession)
+    rest = [f for f in df.schema.fields if f.name not in (ref, hyp, "at", "at_hyp", "n")]
+    plain = lambda c: F.array_join(F.expr(KEPT.format(f"coalesce({c}, '')")), "").alias(c)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(k, *m) for k, (r, h) in enumerate(zip(b.column(ref).to_pylist(), b.column(hyp).to_pylist())) for m in matching_runs(r, h) if m[2] >= least]
+            of = pa.array([m[0] for m in found], pa.int64())
+            kept = [b.column(f.name).take(of) for f in rest]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array([m[i] for m in found], pa.int32()) for i in (1, 2, 3))], [*(f.name for f in rest), "at", "at_hyp", "n"])
+
+    added = [T.StructField(n, T.IntegerType()) for n in ("at", "at_hyp", "n")]
+    return df.select(*(f.name for f in rest), plain(ref), plain(hyp)).mapInArrow(run, T.StructType([*rest, *added]))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.session import ship
+
 DRAWS = "stratum string, replicate int, system string, num double, den double"
 
 
@@ -32,15 +34,19 @@ def resampled_sums(scores: DataFrame, replicates: int, seed: str = "boot", block
     size. A row has one multiplicity for all systems, so comparisons are paired. Blocks, not strata,
     are what a task holds.
     """
+    ship(scores.sparkSession)
     held = scores.groupBy("stratum").agg(F.ceil(F.countDistinct("id") / block_rows).cast("int").alias("blocks"))
     rows = scores.join(held, "stratum").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
     sizes = rows.groupBy("stratum", "block").agg(F.countDistinct("id").alias("n"))
+    # The sizes of a stratum go to each of its blocks once, not to every row.
     shape = sizes.groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct("block", "n"))).alias("sizes"))
-    wide = rows.join(shape, "stratum")
+    shape = shape.select(F.col("stratum").alias("of"), "sizes", F.explode("sizes.block").alias("part"))
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+    def draw(pdf: pd.DataFrame, shape: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:
+            return pd.DataFrame(columns=["stratum", "replicate", "system", "num", "den"])
         stratum, block = str(pdf["stratum"].iloc[0]), int(pdf["block"].iloc[0])
-        by = {x["block"]: x["n"] for x in pdf["sizes"].iloc[0]}
+        by = {x["block"]: x["n"] for x in shape["sizes"].iloc[0]}
         key = zlib.crc32((seed + stratum).encode())
         n = np.array(list(by.values()))
         shares = np.random.default_rng(key).multinomial(n.sum(), n / n.sum(), size=replicates)[:, list(by).index(block)]
@@ -61,14 +67,16 @@ def resampled_sums(scores: DataFrame, replicates: int, seed: str = "boot", block
             }
         )
 
-    parts = wide.groupBy("stratum", "block").applyInPandas(draw, DRAWS)
+    parts = rows.groupBy("stratum", "block").cogroup(shape.groupBy("of", "part")).applyInPandas(draw, DRAWS)
     return parts.groupBy("stratum", "replicate", "system").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
 
 
-def compared(point: DataFrame, draws: DataFrame, a: str, b: str, level: float = 0.95) -> DataFrame:
+def compared(point: DataFrame, draws: DataFrame, a: str, b: str, level: float = 0.95, noise: float = 0.0, n_noisy: int = 0) -> DataFrame:
     """Per stratum the ratio of two systems' rates, its bootstrap interval and the verdict.
 
-    The interval is that of the log ratio, from its variance over the replicates; zero sums give null.
+    The interval is that of the log ratio, from its variance over the replicates and, for each of
+    ``n_noisy`` systems that would come out differently if trained again, the square of ``noise``; zero
+    sums give null.
     """
 
     def log_ratio(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -76,7 +84,7 @@ def compared(point: DataFrame, draws: DataFrame, a: str, b: str, level: float =
         return df.groupBy(*keys).agg(rate(a).alias("ra"), rate(b).alias("rb")).withColumn("d", F.when((F.col("ra") > 0) & (F.col("rb") > 0), F.log("ra") - F.log("rb")))
 
     z = {0.9: 1.6448536, 0.95: 1.9599640, 0.99: 2.5758293}[level]
-    spread = log_ratio(draws, ["stratum", "replicate"]).groupBy("stratum").agg(F.stddev_samp("d").alias("sd"))
+    spread = log_ratio(draws, ["stratum", "replicate"]).groupBy("stratum").agg(F.sqrt(F.var_samp("d") + F.lit(n_noisy * noise**2)).alias("sd"))
     out = log_ratio(point, ["stratum"]).join(spread, "stratum", "left")
     low, high = F.exp(F.col("d") - z * F.col("sd")), F.exp(F.col("d") + z * F.col("sd"))
     verdict = F.when(high < 1, "better").when(low > 1, "worse").when(F.col("d").isNotNull(), "within")

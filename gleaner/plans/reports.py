@@ -16,7 +16,12 @@ from gleaner.session import table
 query = Registry()
 
 
-@query()
+@query(
+    selection.STUDY_SQL
+    + """, g as (select media_key, count(*) as n, sha256('dev' || media_key) as h from study where split = 'train' and media_key is not null group by media_key), dr as (select media_key from (select *, sum(n) over (order by h, media_key rows unbounded preceding) - n as before from g) where before < 200),
+ b as (select *, split = 'train' and media_key in (select media_key from dr) as moved, media_key in (select media_key from dr) as drawn from study), dev as (select distinct pr as key from b where drawn and length(pr) >= 15)
+ select id, split as split0, case when moved then 'dev' else split end as split, case when reason = 'kept' and split = 'train' and not coalesce(moved, false) and (pr in (select key from dev) or ph in (select key from dev)) then 'dev_text' else reason end as reason from b"""
+)
 def rule05_full_cascade(spark, sf):
     """The staged cascade, then a dev slice of whole recordings taken from training.
 
@@ -175,31 +180,4 @@ def w06_cut_places(spark, sf):
     return u.filter((F.col("p") > 0) & (F.col("p") + 1 > 0.5 * F.col("n")) & ~F.col("ch").rlike(marks) & before.rlike(marks)).select("id", (F.col("p") + 1).alias("pos"))
 
 
-@query(f"""select id, cast(len(list_filter(string_split(ref, ''), lambda c: not regexp_matches(c, '[\\p{{P}}\\p{{Z}}]'))) as integer) as n_kept from {UTT} where length(ref) > 0""")
-def e13_comparable_places(spark, sf):
-    """How many characters of a text aren't punctuation or separators."""
-    u = utterances(spark, sf, "id", "ref").filter("length(ref) > 0")
-    return u.select("id", F.size(F.filter(F.split("ref", ""), lambda c: (c != "") & ~c.rlike("[\\p{P}\\p{Z}]"))).alias("n_kept"))
-
-
-@query()
-def e14_matching_runs(spark, sf):
-    """Equal runs of four or more characters in an alignment by insertions and deletions, by source."""
-    from gleaner.functions.scoring import matching_runs, normal_form
-
-    u = utterances(spark, sf, "id", "source", "ref", "hyp")
-
-    def blocks(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for i, s, r, h in zip(pdf["id"], pdf["source"], pdf["ref"], pdf["hyp"]):
-                out += [(i, s, at, n) for at, _, n in matching_runs(normal_form(r), normal_form(h)) if n >= 4]
-            yield pd.DataFrame(out, columns=["id", "source", "at", "n"])
-
-    runs_ = u.mapInPandas(blocks, "id string, source string, at int, n int")
-    return runs_.groupBy("source").agg(F.count("*").alias("n_runs"), F.sum("n").alias("n_chars"), F.max("n").alias("longest"))
-
-
 QUERIES, SQL = query.queries, query.sql

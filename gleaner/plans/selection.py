@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.operators import rows, sequence
+from gleaner.plans.fragments import crc32_sql, distance_sql
 from gleaner.plans.registry import Registry
 from gleaner.session import table
 
@@ -156,7 +157,14 @@ def study_cascade(spark, sf) -> DataFrame:
     )
 
 
-@query()
+STUDY_SQL = (
+    BASE_SQL
+    + f""", pl as (select *, {plain_sql('ref')} as pr, {plain_sql('hyp')} as ph from base), held as (select distinct pr as key from pl where split in ('dev', 'eval') and length(pr) >= 15),
+ study as (select * replace (case when reason != 'kept' or split != 'train' then reason when {distance_sql('pr', 'ph')} > length(pr) * 0.2 then 'disagree' when pr in (select key from held) or ph in (select key from held) then 'held_out_text' when n_tok > duration * 20 then 'too_long' else reason end as reason) from pl)"""
+)
+
+
+@query(STUDY_SQL + " select id, reason from study")
 def rule04_staged_cascade(spark, sf):
     """Later rules overwrite only kept rows; the expensive comparison runs on those alone."""
     return study_cascade(spark, sf).select("id", "reason")
@@ -230,7 +238,7 @@ def rule14_stem(spark, sf):
     return table(spark, sf, "selection", "teacher_file").groupBy("teacher_file", F.substring_index("teacher_file", "/", -1).alias("stem")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"select path, cast({crc32_sql('path')} % 4 as integer) as lane from (select distinct path from shard_manifest where path is not null)")
 def rule15_lanes(spark, sf):
     """A stateless lane for each path, from its checksum."""
     paths = table(spark, sf, "shard_manifest", "path").filter("path is not null").distinct()

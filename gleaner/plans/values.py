@@ -38,9 +38,11 @@ def m01_divergence(spark, sf):
     return _distributions(spark, sf).select("vec_id", F.round(arrays.divergence(F.col("p"), F.col("q")), 6).alias("kl"))
 
 
-@query()
+@query(EMB + """, p as (select vec_id, list_transform(range(1, 65), lambda i: {'p': exp(cast(embedding[i] as double) - m) / z, 'q': exp(centre[i] - cm) / cs}) as x from z join cz using (label)),
+ k as (select vec_id, list_sort(list_transform(x, lambda e: {'n': -e.p, 'q': e.q}))[1:8] as top from p), s as (select vec_id, top, greatest(0.0, 1 + list_sum(list_transform(top, lambda e: e.n))) as pr, greatest(0.0, 1 - list_sum(list_transform(top, lambda e: e.q))) as qr from k)
+ select vec_id, round(list_sum(list_transform(top, lambda e: -e.n * (ln(-e.n) - ln(e.q)))) + case when pr > 0 then pr * (ln(pr) - ln(qr)) else 0 end, 6) as kl from s""")
 def m01_top_k(spark, sf):
-    """The same over the eight largest entries and one bin for the rest."""
+    """The same over the eight largest entries and one bin for the rest."""
     return _distributions(spark, sf).select("vec_id", F.round(arrays.top_with_rest(F.col("p"), F.col("q"), 8), 6).alias("kl"))
 
 
