@@ -63,3 +63,37 @@ def frames(samples: Column, hop: int = 160, halvings: int = 3) -> Column:
     for _ in range(halvings):
         n = F.floor((n - 1) / 2) + 1
     return n
+
+
+def ragged(flat: Column, offsets: Column) -> Column:
+    """The lists that ``offsets`` (one more than there are lists, from 0) cut a flat array into."""
+    return F.transform(F.sequence(F.lit(1), F.size(offsets) - 1), lambda i: F.slice(flat, F.get(offsets, i - 1) + 1, F.get(offsets, i) - F.get(offsets, i - 1)))
+
+
+def offsets(lists: Column) -> Column:
+    """Where each of the lists begins in their flat array, and its whole length at the end."""
+    start = F.array(F.lit(0))
+    return F.aggregate(lists, start, lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.size(x)))
+
+
+def dense_divergence(p: Column, q: Column, k: int, blank: int) -> Column:
+    """Divergence over the blank bin, the k largest other entries of p, and one bin for the rest.
+
+    The blank has its bin whatever its size, so a frame that is nearly all blank keeps its own term.
+    """
+    at = lambda xs: F.get(xs, F.lit(blank))
+    others = lambda xs: F.filter(xs, lambda x, i: i != blank)
+    pairs = F.array_sort(F.arrays_zip(F.transform(others(p), lambda x: -x).alias("n"), others(p).alias("p"), others(q).alias("q")))
+
+    def over(kept: Column) -> Column:
+        ps, qs = F.transform(kept, lambda e: e.p), F.transform(kept, lambda e: e.q)
+        rest = lambda xs, one: F.greatest(F.lit(1e-12), 1.0 - total(xs) - one)
+        return divergence(F.concat(F.array(at(p)), ps, F.array(rest(ps, at(p)))), F.concat(F.array(at(q)), qs, F.array(rest(qs, at(q)))))
+
+    return let(F.slice(pairs, 1, k), over)
+
+
+def two_bin_divergence(p: Column, q: Column) -> Column:
+    """Divergence of two probabilities of one bin against all else."""
+    term = lambda a, b: F.when(a <= 0, 0.0).otherwise(a * (F.log(a) - F.log(b)))
+    return term(p, q) + term(1 - p, 1 - q)

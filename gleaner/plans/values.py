@@ -46,6 +46,19 @@ def m01_top_k(spark, sf):
     return _distributions(spark, sf).select("vec_id", F.round(arrays.top_with_rest(F.col("p"), F.col("q"), 8), 6).alias("kl"))
 
 
+DENSE = """, p as (select vec_id, list_transform(range(1, 65), lambda i: {'i': i, 'p': exp(cast(embedding[i] as double) - m) / z, 'q': exp(centre[i] - cm) / cs}) as x from z join cz using (label))"""
+
+
+@query(EMB + DENSE + """, k as (select vec_id, x[64].p as bp, x[64].q as bq, list_sort(list_transform(list_filter(x, lambda e: e.i != 64), lambda e: {'n': -e.p, 'q': e.q}))[1:8] as top from p),
+ s as (select *, greatest(1e-12, 1 - bp + list_sum(list_transform(top, lambda e: e.n))) as pr, greatest(1e-12, 1 - bq - list_sum(list_transform(top, lambda e: e.q))) as qr from k)
+ select vec_id, round(bp * (ln(bp) - ln(bq)) + list_sum(list_transform(top, lambda e: -e.n * (ln(-e.n) - ln(e.q)))) + pr * (ln(pr) - ln(qr)), 6) as kl, round(bp * (ln(bp) - ln(bq)) + (1 - bp) * (ln(1 - bp) - ln(1 - bq)), 6) as kl_two from s""")
+def m02_dense(spark, sf):
+    """The blank bin, the eight largest others and the rest; and the blank against all else."""
+    d = _distributions(spark, sf)
+    blank = lambda c: F.get(c, F.lit(63))
+    return d.select("vec_id", F.round(arrays.dense_divergence(F.col("p"), F.col("q"), 8, 63), 6).alias("kl"), F.round(arrays.two_bin_divergence(blank("p"), blank("q")), 6).alias("kl_two"))
+
+
 @query("select vec_id, round(m + ln(list_sum(list_transform(embedding, lambda x: exp(cast(x as double) - m)))), 6) as lse from (select *, list_max(list_transform(embedding, lambda x: cast(x as double))) as m from embeddings)")
 def m01_log_sum_exp(spark, sf):
     e = table(spark, sf, "embeddings", "vec_id", "embedding").withColumn("x", F.transform("embedding", lambda v: v.cast("double")))
@@ -116,7 +129,7 @@ def n04_digest(spark, sf):
 
 @query("select tag, count(*) filter (value is not null) as n_finite, count(*) filter (nf = 'nan') as n_nan, count(*) filter (nf in ('inf', '-inf')) as n_inf from run_scalar group by tag")
 def n05_restored(spark, sf):
-    """Values that JSON can't hold, restored and taken out again."""
+    """Values that JSON can't hold, restored and taken out again."""
     v = nested.restored(F.col("value"), F.col("nf"))
     df = table(spark, sf, "run_scalar", "tag", "value", "nf").select("tag", v.alias("v"))
     return df.groupBy("tag").agg(F.count(nested.finite(F.col("v"))).alias("n_finite"), F.count_if(F.isnan("v")).alias("n_nan"), F.count_if(F.abs("v") == float("inf")).alias("n_inf"))
@@ -136,12 +149,12 @@ def e15_name_parts(spark, sf):
     return n.select("run_key", F.split_part("run_key", F.lit("-"), F.lit(1)).alias("base"), F.split_part("run_key", F.lit("-"), F.lit(-1)).alias("number"), "n")
 
 
-@query("select event_id, case when event_type = 'click' then '***' else cast(value as varchar) end is not null as kept, case when event_type = 'click' then '***' else 'v' end as value from events")
+@query("select doc_id, '***' as api_key, '***' as author_token, lang, channel from documents")
 def e16_redacted(spark, sf):
-    """Values of telling keys blanked."""
-    e = table(spark, sf, "events", "event_id", "event_type")
-    m = nested.redacted(F.create_map(F.when(F.col("event_type") == "click", "api_key").otherwise("plain"), F.lit("v")))
-    return e.select("event_id", F.get(F.map_values(m), F.lit(0)).alias("value")).withColumn("kept", F.col("value").isNotNull())
+    """Values of telling names blanked, the others kept."""
+    d = table(spark, sf, "documents", "doc_id", "lang", "channel", "source")
+    m = nested.redacted(F.create_map(F.lit("api_key"), F.coalesce("source", F.lit("")), F.lit("author_Token"), F.lit("x"), F.lit("lang"), F.col("lang"), F.lit("channel"), F.col("channel")))
+    return d.select("doc_id", *(F.try_element_at(m, F.lit(k)).alias(k.lower()) for k in ("api_key", "author_Token", "lang", "channel")))
 
 
 @query("select doc_id, replace(replace(replace(coalesce(text, ''), '|', '\\|'), chr(10), ' '), chr(13), chr(13)) as cell from documents")
@@ -168,16 +181,6 @@ def s03_lines(spark, sf):
     return files.read_whole_lines(spark, folder, LINE)[0]
 
 
-@query("select id, source, split, n_tok from utt_index")
-def s07_parts(spark, sf):
-    """Parts with different columns read as one table."""
-    folder = _folder(spark, "parts")
-    df = table(spark, sf, "utt_index", "id", "source", "split", "n_tok", "row_no")
-    df.filter("row_no % 2 = 0").drop("row_no").write.parquet(f"{folder}/part=0")
-    df.filter("row_no % 2 = 1").drop("row_no", "unused").write.parquet(f"{folder}/part=1")
-    return files.read_parts(spark, folder).select("id", "source", "split", "n_tok")
-
-
 @query(f"select id, ref, hyp from {UTT} where ref is not null and hyp is not null")
 def s09_pairs(spark, sf):
     """Members of two kinds paired by key, the unpaired left out."""

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gleaner.sources.files import exists, listed
+
 
 def tail(spark: SparkSession, path: str, schema, kind: str = "json", files_per_trigger: int | None = None) -> DataFrame:
     """New files of a folder as they come; the rate limit is the closest to holding back input."""
@@ -45,6 +48,44 @@ def upsert_last(stream: DataFrame, keys: list[str], order: str, values: list[str
     return max(versions, default=-1)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file as a marker."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark._jsc.hadoopConfiguration()).create(file, True).close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+
+
+def follow(spark: SparkSession, folder: str, take: Callable[[list[str], int], None], done: str, hold: str | None = None, pause: Callable[[], None] = lambda: time.sleep(10)) -> dict[str, int]:
+    """Takes up the entries of a folder as they appear, until the file ``done`` stands and none is left.
+
+    The folder is listed anew each time; ``take`` gets the names not taken yet and the number of the
+    round. While the file ``hold`` stands nothing is taken. The marker is looked for before the listing,
+    so that what was written before it is never missed. Gives the rounds, the pauses held and idle ones.
+    """
+    taken: set[str] = set()
+    counts = {"rounds": 0, "held": 0, "idle": 0}
+    while True:
+        if hold and exists(spark, hold):
+            counts["held"] += 1
+            pause()
+            continue
+        over = exists(spark, done)
+        fresh = [n for n in listed(spark, folder) if n not in taken and not n.startswith(("_", "."))]
+        if fresh:
+            take(fresh, counts["rounds"])
+            taken.update(fresh)
+            counts["rounds"] += 1
+        elif over:
+            return counts
+        else:
+            counts["idle"] += 1
+            pause()
+
+
 def windowed_counts(stream: DataFrame, at: str, key: str, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Counts and sums by event-time window and key; rows later than ``late`` are left out."""
     timed = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)

@@ -51,12 +51,12 @@ def test_matching_runs_are_a_longest_common_subsequence():
 
 
 def test_matching_runs_query(spark, tmp_path):
-    from gleaner.plans.reports import e14_matching_runs
+    from gleaner.plans.texts import e14_matching_runs
 
     row = {"id": "s/1", "source": "s", "split": "train", "ref": "12345abcd", "hyp": "abcd67890", "row_no": 1}
     columns = spark.read.parquet("/root/testdata/sf0.001/utt_index.parquet").schema
     spark.createDataFrame([tuple(row.get(c) for c in columns.names)], columns).write.parquet(f"{tmp_path}/utt_index.parquet")
-    assert [tuple(r) for r in e14_matching_runs(spark, str(tmp_path)).collect()] == [("s", 1, 4, 4)]
+    assert [tuple(r) for r in e14_matching_runs(spark, str(tmp_path)).collect()] == [("s/1", 5, 0, 4)]
 
 
 def test_regions():
@@ -94,9 +94,9 @@ def test_normal_form(text, want):
 
 
 def test_pieces_and_lazy_scores(spark):
-    df = spark.createDataFrame([(["▁今日", "は", "<0xE3>", "▁"],), ([],)], "p array<string>")
+    df = spark.createDataFrame([(["▁今日", "は", "<0xE3>", "▁", "<unk>", "a"],), ([],)], "p array<string>")
     got = df.select(F.transform("p", sc.piece_text).alias("t"), sc.piece_spans(F.col("p")).alias("s")).collect()
-    assert got[0].t == [" 今日", "は", "�", " "] and [tuple(x) for x in got[0].s] == [(0, 3), (3, 4), (4, 5), (5, 6)] and got[1].s == []
+    assert got[0].t == ["今日", "は", "�", "", "", "a"] and [tuple(x) for x in got[0].s] == [(0, 2), (2, 3), (3, 4), (4, 4), (4, 4), (4, 5)] and got[1].s == []
     scored = sc.ensure_scores(spark.createDataFrame([("あ", "い")], "ref string, hyp string"))
     assert scored.first().edits == 1 and sc.ensure_scores(scored) is scored
 
