@@ -45,11 +45,14 @@ def t05_hash_cap(spark, sf):
     return rows.numbered(drawn, ["source"], [F.col("id")], "place").select("source", "id", "place")
 
 
-@query(f"""with recursive t as (select run_key, step, value, row_number() over (partition by run_key order by step) as k from {LOG} where tag = 'train/loss'),
+PATIENCE_SQL = f"""with recursive t as (select run_key, step, value, row_number() over (partition by run_key order by step) as k from {LOG} where tag = 'train/loss'),
  f as (select run_key, step, value, k, value as best, case when value is null then 1 else 0 end as since from t where k = 1
  union all select t.run_key, t.step, t.value, t.k, case when t.value is not null and (f.best is null or f.best - t.value > greatest(0.001, 0.01 * abs(f.best))) then t.value else f.best end,
  case when t.value is not null and (f.best is null or f.best - t.value > greatest(0.001, 0.01 * abs(f.best))) then 0 else f.since + 1 end from f join t on t.run_key = f.run_key and t.k = f.k + 1)
- select run_key, step, value, best, cast(since as integer) as since, cast(k as integer) as evals, case when k < 5 then null when value <= 0.8 then 'floor' when since >= 4 then 'patience' end as trigger from f""")
+ select run_key, step, value, best, cast(since as integer) as since, cast(k as integer) as evals, case when k < 5 then null when value <= 0.8 then 'floor' when since >= 4 then 'patience' end as trigger from f"""
+
+
+@query(PATIENCE_SQL)
 def w13_patience(spark, sf):
     """Best so far, values since and the trigger to stop, run by run; missing values count against patience."""
     df = log(spark, sf, "run_key", "tag", "step", "value").filter("tag = 'train/loss'").select("run_key", "step", "value")

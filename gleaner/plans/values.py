@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gleaner.functions import arrays, nested
+from gleaner.plans.batches import PATIENCE_SQL
 from gleaner.plans.registry import Registry
 from gleaner.plans.runs import log
 from gleaner.plans.selection import UTT, utterances
@@ -216,23 +217,24 @@ def s15_export(spark, sf):
 
 @query("select run_key, tag, step, arg_max(value, wall) as value from (select * from run_scalar where value is not null) group by run_key, tag, step")
 def x01_stream_last(spark, sf):
-    """A stream whose last value of each step and tag wins, in a table by batch."""
+    """A stream whose last value of each step and tag wins; a batch writes only what it changes."""
     folder = _folder(spark, "stream")
     table(spark, sf, "run_scalar").filter("value is not null").repartition(3).write.parquet(f"{folder}/in")
     stream = tail.tail(spark, f"{folder}/in", table(spark, sf, "run_scalar").schema, "parquet", 1)
-    last = tail.upsert_last(stream, ["run_key", "tag", "step"], "wall", ["value"], f"{folder}/out", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/out/v{last}").select("run_key", "tag", "step", "value")
+    last = tail.last_values(["run_key", "tag", "step"], "wall", ["value"])
+    tail.keep_changes(stream, last, last, f"{folder}/out", f"{folder}/state")
+    return tail.changes(spark, f"{folder}/out", last).select("run_key", "tag", "step", "value")
 
 
 @query("select time_bucket(interval '1 hour', ts) as began, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2")
 def x02_stream_windows(spark, sf):
-    """Event-time windows over files as they come; each batch updates a table by batch."""
+    """Event-time windows over files in any order of time; a row counts however late it comes."""
     folder = _folder(spark, "windows")
-    events = table(spark, sf, "events", "ts", "event_type", "value")
-    events.write.parquet(f"{folder}/in")
-    counts = tail.windowed_counts(tail.tail(spark, f"{folder}/in", "ts timestamp_ntz, event_type string, value double", "parquet"), "ts", "event_type")
-    last = tail.upsert_last(counts, ["began", "event_type"], "n", ["total"], f"{folder}/out", f"{folder}/state", "update")
-    done = spark.read.parquet(f"{folder}/out/v{last}")
+    table(spark, sf, "events", "ts", "event_type", "value").repartition(3).write.parquet(f"{folder}/in")
+    stream = tail.tail(spark, f"{folder}/in", "ts timestamp_ntz, event_type string, value double", "parquet", 1)
+    partial, merge = tail.window_sums("ts", "event_type", "value")
+    tail.keep_changes(stream, partial, merge, f"{folder}/out", f"{folder}/state")
+    done = tail.changes(spark, f"{folder}/out", merge)
     return done.select(F.col("began").cast("timestamp_ntz").alias("began"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
@@ -249,14 +251,18 @@ def x03_stream_resume(spark, sf):
     return spark.read.parquet(f"{folder}/out").select("event_id", "user_id", "event_type")
 
 
-@query()
+@query(PATIENCE_SQL)
 def x09_stream_patience(spark, sf):
-    """Patience carried from batch to batch."""
+    """Patience carried from one micro-batch to the next."""
     folder = _folder(spark, "patience")
-    log(spark, sf, "run_key", "tag", "step", "value").filter("tag = 'train/loss' and value is not null").select("run_key", "step", "value").write.parquet(f"{folder}/in")
-    stream = tail.patience_stream(tail.tail(spark, f"{folder}/in", "run_key string, step bigint, value double", "parquet"), "run_key", "step", "value", 0.001, 10)
-    tail.run_available(stream, f"{folder}/out", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/out")
+    df = log(spark, sf, "run_key", "tag", "step", "value").filter("tag = 'train/loss'").select("run_key", "step", "value")
+    schema = "run_key string, step bigint, value double"
+    for part, rows in enumerate(("step < 80", "step >= 80")):
+        df.filter(rows).coalesce(1).write.parquet(f"{folder}/in/part={part}")
+        stream = tail.patience_stream(tail.tail(spark, f"{folder}/in", schema, "parquet"), "run_key", "step", "value", 4, 0.001, 0.01, 0.8, 5)
+        tail.run_available(stream, f"{folder}/out", f"{folder}/state")
+    back = spark.read.schema("run_key string, step bigint, best double, since int, evals int, trigger string").parquet(f"{folder}/out")
+    return back.join(df, ["run_key", "step"]).select("run_key", "step", "value", "best", "since", "evals", "trigger")
 
 
 QUERIES, SQL = query.queries, query.sql
