@@ -41,3 +41,45 @@ def restored(value: Column, name: Column) -> Column:
 def redacted(pairs: Column, pattern: str = "(?i)(token|secret|password|key)") -> Column:
     """A map with the values of telling keys blanked."""
     return F.transform_values(pairs, lambda k, v: F.when(k.rlike(pattern), F.lit("***")).otherwise(v))
+
+
+def merged_leaves(base: Column, over: Column) -> Column:
+    """``leaves, unknown``: a map of dotted paths with those of ``over`` laid on top, and paths that ``base`` doesn't have."""
+    leaves = F.map_zip_with(base, over, lambda k, a, b: F.coalesce(b, a))
+    known = F.map_keys(base)
+    kept = F.map_filter(leaves, lambda k, v: F.array_contains(known, k))
+    return F.struct(kept.alias("leaves"), F.array_sort(F.array_except(F.map_keys(over), known)).alias("unknown"))
+
+
+SETS = "map<string, struct<ids: array<string>, ids_sha256: string, sha256: string>>"
+
+
+def manifest_sets(manifest: Column) -> Column:
+    """The id lists of a manifest: ``name, ids, digest``, whichever of its layouts it has.
+
+    The sets stand under ``sets``, under ``eval_sets`` or at the top, their digest as ``ids_sha256`` or
+    ``sha256``; entries without ids are no sets.
+    """
+    body = F.coalesce(F.get_json_object(manifest, "$.sets"), F.get_json_object(manifest, "$.eval_sets"), manifest)
+    entries = F.map_entries(F.from_json(body, SETS))
+    sets = F.transform(entries, lambda e: F.struct(e.key.alias("name"), e.value.ids.alias("ids"), F.coalesce(e.value.ids_sha256, e.value.sha256).alias("digest")))
+    return F.filter(sets, lambda s: s.ids.isNotNull())
+
+
+def set_state(ids: Column, digest: Column) -> Column:
+    """Whether an id list is what its digest says, and holds each id once."""
+    own = F.sha2(F.array_join(ids, "\n"), 256)
+    return F.when(digest.isNull(), "no digest").when(own != digest, "other ids").when(F.size(F.array_distinct(ids)) < F.size(ids), "duplicates").otherwise("verified")
+
+
+def json_problems(config: Column, rules: dict[str, tuple[float, float]]) -> Column:
+    """Every problem of a flat JSON object of numbers, as an array: not an object, missing, unknown, type, range."""
+    keys = F.json_object_keys(config)
+    out = [F.when(keys.isNull(), F.lit("not an object"))]
+    for key, (least, most) in rules.items():
+        raw = F.get_json_object(config, f"$.{key}")
+        number = raw.try_cast("double")
+        has = F.array_contains(keys, key)
+        out += [F.when(keys.isNotNull() & ~has, F.lit(f"missing {key}")), F.when(has & number.isNull(), F.lit(f"type of {key}")), F.when(number.isNotNull() & ~number.between(least, most), F.lit(f"range of {key}"))]
+    unknown = F.transform(F.array_sort(F.array_except(keys, F.array(*map(F.lit, rules)))), lambda k: F.concat(F.lit("unknown "), k))
+    return F.concat(F.array_compact(F.array(*out)), F.coalesce(unknown, F.array().cast("array<string>")))

@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.operators import sequence
+
 
 def digest(value: object) -> str:
     """SHA-256 of a value as canonical JSON: keys sorted, no blanks."""
@@ -76,6 +78,56 @@ class Cursor:
         return self
 
 
+def config_problems(config: dict, rules: dict[str, tuple], where: str = "") -> list[str]:
+    """Every problem of a nested setting: missing and unknown keys, wrong types, numbers out of range.
+
+    A rule is a type, ``(type, least, most)`` for a number, or a nested dict of rules.
+    """
+    out = [f"missing {where}{k}" for k in rules if k not in config]
+    out += [f"unknown {where}{k}" for k in config if k not in rules]
+    for key in (k for k in rules if k in config):
+        rule, value = rules[key], config[key]
+        if isinstance(rule, dict):
+            out += config_problems(value, rule, f"{where}{key}.") if isinstance(value, dict) else [f"type of {where}{key}"]
+            continue
+        kind, *bounds = rule if isinstance(rule, tuple) else (rule,)
+        if not isinstance(value, kind) or (isinstance(value, bool) and kind is not bool):
+            out.append(f"type of {where}{key}")
+        elif bounds and not bounds[0] <= value <= bounds[1]:
+            out.append(f"range of {where}{key}")
+    return out
+
+
+def unverified(listing: DataFrame, cache: DataFrame, columns: list[str]) -> DataFrame:
+    """What of a listing isn't in the cache of checks as it stands now; a changed size or digest is checked again."""
+    return listing.select(*columns).distinct().join(cache.select(*columns).distinct(), [listing[c].eqNullSafe(cache[c]) for c in columns], "left_anti")
+
+
+def content_digest(df: DataFrame, order: list[str]) -> str:
+    """SHA-256 of all rows as canonical JSON, in the order given; layout, file names and times don't enter it."""
+    row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    one = sequence.ordered_digest(df.select(F.lit(0).alias("_one"), *order, row.alias("_json")), ["_one"], order, "_json")
+    found = one.first()
+    return found.digest if found else hashlib.sha256(b"").hexdigest()
+
+
+def coverage(systems: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``system, n, n_missing, n_extra, n_duplicate, refused``: whether each system holds exactly the wanted ids, once each."""
+    held = systems.groupBy("system", "id").agg(F.count("*").alias("times"))
+    ids = wanted.select("id").distinct().withColumn("wanted", F.lit(True))
+    found = held.join(ids, "id", "left")
+    n_wanted = ids.agg(F.count("*").alias("n_wanted"))
+    by = found.groupBy("system").agg(F.sum("times").alias("n"), F.count("wanted").alias("n_met"), F.count_if(F.col("wanted").isNull()).alias("n_extra"), F.sum(F.col("times") - 1).alias("n_duplicate"))
+    out = by.crossJoin(n_wanted).select("system", "n", (F.col("n_wanted") - F.col("n_met")).alias("n_missing"), "n_extra", "n_duplicate")
+    return out.withColumn("refused", F.expr("n_missing > 0 or n_extra > 0 or n_duplicate > 0"))
+
+
+def aligned_or_refused(systems: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``systems`` unchanged, or an error that names a system which doesn't hold exactly the wanted ids."""
+    refuse(coverage(systems, wanted), F.col("refused"), "systems that don't match the manifest")
+    return systems
+
+
 def content_matches(a: DataFrame, b: DataFrame, unit: list[str], key: str) -> DataFrame:
     """Units with whether both sides hold the same set of keys, by counts and order-free digests.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators import sequence
 from gleaner.session import discard, materialise
 
 
@@ -50,6 +51,29 @@ def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100) -> DataFr
     raise RuntimeError(f"the closure still grows after {max_rounds} rounds")
 
 
+def ordered_plan(edges: DataFrame, wanted: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """``node, level, place``: every node that ``wanted`` needs, each after all it needs itself.
+
+    ``level`` is the longest way from a node down to one that needs nothing; nodes of a level come by
+    name. A circle of needs is an error.
+    """
+    nodes = closure(edges, wanted)
+    own = edges.join(nodes, "node", "left_semi").select("node", "needs").distinct()
+    levels = materialise(nodes.join(own.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(0)), "levels")
+    for level in range(1, max_rounds):
+        # What needs a node of the level below is at least one above it; a later round lifts it further.
+        below = levels.filter(F.col("level") == level - 1).select(F.col("node").alias("needs"))
+        fresh = own.join(below, "needs", "left_semi").select("node").distinct().withColumn("level", F.lit(level))
+        grown = materialise(levels.unionByName(fresh).groupBy("node").agg(F.max("level").alias("level")), "levels")
+        more = not grown.filter(F.col("level") == level).isEmpty()
+        discard(levels)
+        levels = grown
+        if not more:
+            one = sequence.running_total(levels.withColumn("one", F.lit(1).cast("bigint")), ["level", "node"], "one", "place")
+            return one.select("node", "level", "place")
+    raise ValueError("the needs go in a circle")
+
+
 def first_difference(a: DataFrame, b: DataFrame, position: str, value: str) -> DataFrame:
     """Whether two ordered lists are equal, and the first position where they aren't."""
     both = a.select(position, value).join(b.select(position, F.col(value).alias("other")), position, "full")
