@@ -71,12 +71,13 @@ def resampled_sums(scores: DataFrame, replicates: int, seed: str = "boot", block
     return parts.groupBy("stratum", "replicate", "system").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
 
 
-def compared(point: DataFrame, draws: DataFrame, a: str, b: str, level: float = 0.95, noise: float = 0.0, n_noisy: int = 0) -> DataFrame:
+def compared(point: DataFrame, draws: DataFrame, a: str, b: str, level: float = 0.95, noise: float = 0.0, n_noisy: int = 0, inflate: float = 1.0) -> DataFrame:
     """Per stratum the ratio of two systems' rates, its bootstrap interval and the verdict.
 
     The interval is that of the log ratio, from its variance over the replicates and, for each of
     ``n_noisy`` systems that would come out differently if trained again, the square of ``noise``; zero
-    sums give null.
+    sums give null. ``inflate`` turns the variance of other replicates, as those that leave out a block
+    each, into that of the ratio.
     """
 
     def log_ratio(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,7 +85,7 @@ def compared(point: DataFrame, draws: DataFrame, a: str, b: str, level: float =
         return df.groupBy(*keys).agg(rate(a).alias("ra"), rate(b).alias("rb")).withColumn("d", F.when((F.col("ra") > 0) & (F.col("rb") > 0), F.log("ra") - F.log("rb")))
 
     z = {0.9: 1.6448536, 0.95: 1.9599640, 0.99: 2.5758293}[level]
-    spread = log_ratio(draws, ["stratum", "replicate"]).groupBy("stratum").agg(F.sqrt(F.var_samp("d") + F.lit(n_noisy * noise**2)).alias("sd"))
+    spread = log_ratio(draws, ["stratum", "replicate"]).groupBy("stratum").agg(F.sqrt(F.var_samp("d") * inflate + F.lit(n_noisy * noise**2)).alias("sd"))
     out = log_ratio(point, ["stratum"]).join(spread, "stratum", "left")
     low, high = F.exp(F.col("d") - z * F.col("sd")), F.exp(F.col("d") + z * F.col("sd"))
     verdict = F.when(high < 1, "better").when(low > 1, "worse").when(F.col("d").isNotNull(), "within")

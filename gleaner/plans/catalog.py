@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import batches, control, ingest, more, relations, reports, runs, scores, selection, texts, values
+from gleaner.plans import batches, control, ingest, more, relations, reports, runs, scores, selection, texts, values, verdicts
 
 FLAGSHIP = "rule03_cascade"
-MODULES = (selection, relations, runs, batches, ingest, control, scores, texts, values, reports, more)
+MODULES = (selection, relations, runs, batches, ingest, control, scores, texts, values, reports, more, verdicts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -38,26 +38,6 @@ def rule05_full_cascade(spark, sf):
     return rows.staged(base.join(dup, "id", "left"), [("dev_text", (F.col("split") == "train") & F.col("dev_dup"))]).select("id", "split0", "split", "reason")
 
 
-@query(f"""with t as (select run_key, value, step, row_number() over (partition by run_key order by step desc) rn, count(*) over (partition by run_key) n from {LOG} where tag = 'eval/dev/kl' and value is not null),
- w as (select * from t where rn <= greatest(3, ceil(0.2 * n))),
- s as (select run_key, count(*) as n_points, round(case when count(distinct step) > 1 then regr_slope(value, step) * (max(step) - min(step)) / avg(abs(value)) end, 6) as change from w group by run_key),
- f as (select run_key, round(arg_max(value, step), 6) as last_value, round(min(value), 6) as best from t group by run_key)
- select run_key, n_points, change, last_value, best, case when n_points < 3 then 'inconclusive' when change < -0.01 then 'improving' when last_value <= 1.2 * best then 'go' when last_value <= 1.5 * best then 'promising' else 'no-go' end as verdict from s join f using (run_key)""")
-def r02_verdict(spark, sf):
-    """A verdict for each run from its tail's trend and its distance from the best."""
-    w = W.partitionBy("run_key")
-    t = log(spark, sf, "run_key", "tag", "step", "value").filter("tag = 'eval/dev/kl' and value is not null")
-    t = t.withColumn("rn", F.row_number().over(w.orderBy(F.desc("step")))).withColumn("n", F.count("*").over(w))
-    change = F.regr_slope("value", F.col("step").cast("double")) * (F.max("step") - F.min("step")) / F.avg(F.abs("value"))
-    s = t.filter("rn <= greatest(3, ceil(n * 0.2D))").groupBy("run_key").agg(F.count("*").alias("n_points"), F.round(F.when(F.countDistinct("step") > 1, change), 6).alias("change"))
-    f = t.groupBy("run_key").agg(F.round(F.max_by("value", "step"), 6).alias("last_value"), F.round(F.min("value"), 6).alias("best"))
-    verdict = (
-        F.when(F.col("n_points") < 3, "inconclusive").when(F.col("change") < -0.01, "improving").when(F.col("last_value") <= 1.2 * F.col("best"), "go")
-        .when(F.col("last_value") <= 1.5 * F.col("best"), "promising").otherwise("no-go")
-    )
-    return s.join(f, "run_key").withColumn("verdict", verdict)
-
-
 @query("""select 'unique ids' as name, case when count(*) = count(distinct id) then 'pass' else 'fail' end as state, cast(count(*) - count(distinct id) as varchar) as detail from utt_index
  union all select 'known splits', case when count(*) filter (split is null) = 0 then 'pass' else 'fail' end, cast(count(*) filter (split is null) as varchar) from utt_index
  union all select 'positive lengths', case when count(*) filter (not (duration > 0 and n_tok > 0)) = 0 then 'pass' else 'fail' end, cast(count(*) filter (not (duration > 0 and n_tok > 0)) as varchar) from utt_index
@@ -79,14 +59,6 @@ def r05_long_table(spark, sf):
     return df.select("run_key", "step", F.substring_index("tag", "/", -1).alias("series"), "value", place.alias("place"))
 
 
-@query(f"""with w as (select run_key, step, max(value) filter (tag = 'train/loss') as loss, max(value) filter (tag = 'train/lr') as lr, max(value) filter (tag = 'sys/io_wait') as io_wait from {LOG} group by 1, 2) select * from w""")
-def r04_wide_steps(spark, sf):
-    """One row for each step with a column for each tag."""
-    df = log(spark, sf, "run_key", "step", "tag", "value")
-    wide = df.groupBy("run_key", "step").pivot("tag", ["train/loss", "train/lr", "sys/io_wait"]).agg(F.max("value"))
-    return wide.toDF("run_key", "step", "loss", "lr", "io_wait")
-
-
 @query(f"""with s as (select in_greedy_subset as v, coalesce(length(ref), 0) as l, round(coalesce(teacher_cer, 0) * coalesce(length(ref), 0)) as e from {UTT} where split in ('dev', 'eval'))
  select round(sum(e) filter (v and l > 0) / sum(l) filter (v and l > 0), 6) as on_view, round(sum(e) filter (l > 0) / sum(l) filter (l > 0), 6) as on_all, round(100 * (sum(e) filter (v and l > 0) / sum(l) filter (v and l > 0) - sum(e) filter (l > 0) / sum(l) filter (l > 0)), 6) as gap from s""")
 def r09_view_bias(spark, sf):
