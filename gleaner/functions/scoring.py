@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,10 +32,15 @@ def normal_form(text: str | None) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def normalised(text: pd.Series) -> pd.Series:
+def _normalised(text: pd.Series) -> pd.Series:
     return text.map(normal_form, na_action=None) if len(text) else text
 
 
+def normalised(text: str | Column) -> Column:
+    ship(SparkSession.active())
+    return _normalised(text)
+
+
 def alignment(ref: str, hyp: str) -> list[tuple[str, int, int]]:
     """One cheapest alignment as steps ``(kind, place in ref, place in hyp)``, kinds =, s, d, i.
 

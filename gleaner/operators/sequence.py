@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -57,11 +58,12 @@ def running_total(df: DataFrame, order: list[str], value: str, output: str = "up
     placed = materialise(placed, "ranges")
     totals = placed.groupBy("_part", *keys).agg(F.sum(value).alias("_total"))
     earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    before = totals.select("_part", *keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    before = totals.select(F.col("_part").alias("_p"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
     own = F.sum(value).over(W.partitionBy("_part", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     # Without keys there is one row for each partition.
-    joined = placed.withColumn(output, own).join(before if keys else F.broadcast(before), ["_part", *keys])
-    return joined.withColumn(output, F.col(output) + F.col("_before")).drop("_part", "_before")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_part") == F.col("_p"))
+    joined = placed.withColumn(output, own).join(before if keys else F.broadcast(before), same)
+    return joined.withColumn(output, F.col(output) + F.col("_before")).drop("_part", "_p", "_before", *(f"_k{i}" for i in range(len(keys))))
 
 
 def ordered_digest(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -263,12 +265,20 @@ def grouped_steps(df: DataFrame, keys: list[str], order: list[str], size: str, t
 
 
 def skip_fit(df: DataFrame, keys: list[str], order: list[str], size: str, budget: float) -> DataFrame:
-    """Rows in order, each taken if it still fits the budget of its key."""
+    """Rows in order, each taken if it still fits the budget of its key; sizes are whole numbers of 0 or more.
 
-    def step(state: list, value: float) -> tuple | None:
-        if state[0] + value > budget:
-            return None
-        state[0] += value
-        return ()
-
-    return fold(df, keys, order, [size], "", lambda: [0], step)
+    In rounds: the prefix that fits is taken at once, by a running total over range partitions, then only
+    rows that fit what is left can still be taken. What is left is less than the first row passed over,
+    so few rounds are needed, and no key is walked by one task.
+    """
+    left, taken = df.withColumn("_left", F.lit(budget)), None
+    while True:
+        walked = materialise(running_total(left, order, size, "_upto", keys), "walked")
+        fits = walked.filter("_upto <= _left")
+        taken = fits if taken is None else taken.unionByName(fits)
+        used = fits.groupBy(*keys).agg(F.max("_upto").alias("_used")).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_used")
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.lit(True))
+        rest = walked.filter("_upto > _left").drop("_upto").join(used, same, "left").withColumn("_left", F.col("_left") - F.coalesce("_used", F.lit(0)))
+        left = materialise(rest.filter(F.col(size) <= F.col("_left")).select(*df.columns, "_left"), "left")
+        if left.isEmpty():
+            return taken.select(*df.columns)

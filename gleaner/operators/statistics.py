@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.session import ship
+from gleaner.operators import sequence
+from gleaner.session import materialise, ship
 
 DRAWS = "stratum string, replicate int, system string, num double, den double"
 
@@ -19,6 +21,25 @@ def ratio(num: Column, den: Column, digits: int = 6) -> Column:
     return F.round(F.try_divide(num.cast("double"), den.cast("double")), digits)
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], digits: int = 6) -> DataFrame:
+    """``keys`` and a column for each of ``shares``: exact quantiles with linear interpolation, null values apart.
+
+    Equal values are counted first, and ranks are running totals over range partitions, so a group with
+    most of the rows, or with values all different, is held by no task. A key without values has no row.
+    """
+    counted = df.select(*keys, F.col(value).cast("double").alias("_x")).filter("_x is not null").groupBy(*keys, "_x").agg(F.count("*").alias("_n"))
+    ranked = materialise(sequence.running_total(counted, ["_x"], "_n", "_upto", keys), "ranked")
+    sizes = ranked.groupBy(*keys).agg(F.max("_upto").alias("_size")).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_size")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.lit(True))
+    at = {name: F.lit(share) * (F.col("_size") - 1) for name, share in shares.items()}
+    holds = lambda place: (F.col("_upto") - F.col("_n") <= place) & (place < F.col("_upto"))
+    near = reduce(lambda a, b: a | b, [holds(f(h)) for h in at.values() for f in (F.floor, F.ceil)])
+    kept = ranked.join(sizes, same).filter(near)
+    pick = lambda place: F.max(F.when(holds(place), F.col("_x")))
+    out = kept.groupBy(*keys).agg(*(x.alias(f"_{name}{i}") for name, h in at.items() for i, x in enumerate((pick(F.floor(h)), pick(F.ceil(h)), F.max(h - F.floor(h))))))
+    return out.select(*keys, *(F.round(F.col(f"_{n}0") + (F.col(f"_{n}1") - F.col(f"_{n}0")) * F.col(f"_{n}2"), digits).alias(n) for n in shares))
+
+
 def point_sums(scores: DataFrame) -> DataFrame:
     """``stratum, system, num, den`` over all rows."""
     return scores.groupBy("stratum", "system").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))

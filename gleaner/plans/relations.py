@@ -98,10 +98,11 @@ def j18_interval_join(spark, sf):
 
 @query("select source, cast(sum(n_tok) as bigint) as n_positions, cast(sum(case when (tok_off + n_tok - 1) // 100 >= (tok_off + 99) // 100 then (tok_off + n_tok - 1) // 100 - (tok_off + 99) // 100 + 1 else 0 end) as bigint) as n_marks from utt_index where n_tok > 0 group by source")
 def j19_interval_expansion(spark, sf):
-    """Intervals expanded to their positions."""
-    df = table(spark, sf, "utt_index", "source", "tok_off", "n_tok").filter("n_tok > 0")
-    each = df.select("source", F.explode(F.sequence(F.col("tok_off"), F.col("tok_off") + F.col("n_tok") - 1)).alias("at"))
-    return each.groupBy("source").agg(F.count("*").alias("n_positions"), F.count_if(F.col("at") % 100 == 0).alias("n_marks"))
+    """Intervals expanded to the blocks of 100 positions they touch, and the positions in each block counted."""
+    df = table(spark, sf, "utt_index", "source", "tok_off", "n_tok").filter("n_tok > 0").withColumn("end", F.col("tok_off") + F.col("n_tok"))
+    each = df.select("source", "tok_off", "end", F.explode(F.sequence(F.expr("tok_off div 100"), F.expr("(end - 1) div 100"))).alias("block"))
+    low, high = F.greatest("tok_off", F.col("block") * 100), F.least("end", F.col("block") * 100 + 100)
+    return each.groupBy("source").agg(F.sum(high - low).alias("n_positions"), F.sum((low == F.col("block") * 100).cast("bigint")).alias("n_marks"))
 
 
 @query("""with l as (select run_key, min(wall) as began, max(wall) as ended from run_scalar where run_key is not null group by run_key), t as (select distinct cast(wall as bigint) as w from run_scalar)

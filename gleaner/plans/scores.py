@@ -155,7 +155,8 @@ def a23_latency(spark, sf):
 
     w = W.partitionBy("run_key").orderBy("wall", "step", "tag", "elapsed_s")
     df = table(spark, sf, "run_scalar", "run_key", "wall", "step", "tag", "elapsed_s").filter("run_key is not null").withColumn("d", F.col("elapsed_s") - F.lag("elapsed_s").over(w)).filter("d is not null")
-    return df.groupBy("run_key").agg(F.round(F.percentile("d", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("d", F.lit(0.95)), 6).alias("p95"), F.round(F.avg("d"), 6).alias("mean"))
+    mean = df.groupBy("run_key").agg(F.round(F.avg("d"), 6).alias("mean"))
+    return st.exact_quantiles(df, ["run_key"], "d", {"p50": 0.5, "p95": 0.95}).join(mean, "run_key")
 
 
 @query("""with t as (select tag, run_key, sum(value) as total, count(*) as n from run_scalar where value is not null group by 1, 2), s as (select *, round(total / sum(total) over (partition by run_key), 6) as share, row_number() over (partition by run_key order by total desc, tag) as rank from t)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.operators import rows, sequence
+from gleaner.operators import statistics as st
 from gleaner.plans.fragments import crc32_sql, distance_sql
 from gleaner.plans.registry import Registry
 from gleaner.session import table
@@ -292,9 +293,7 @@ def a04_coverage_gate(spark, sf):
 @query("""select source, round(quantile_cont(cast(agree as double), 0.5), 6) as q50, round(quantile_cont(cast(agree as double), 0.9), 6) as q90, round(quantile_cont(cast(agree as double), 0.99), 6) as q99 from utt_index where agree is not null group by source""")
 def a05_exact_quantiles(spark, sf):
     """Exact quantiles with linear interpolation."""
-    q = F.percentile(F.col("agree").cast("double"), F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    out = table(spark, sf, "utt_index", "source", "agree").filter("agree is not null").groupBy("source").agg(q.alias("q"))
-    return out.select("source", *(F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("q50", "q90", "q99"))))
+    return st.exact_quantiles(table(spark, sf, "utt_index", "source", "agree"), ["source"], "agree", {"q50": 0.5, "q90": 0.9, "q99": 0.99})
 
 
 @query("""with u as (select min(coalesce(value, 0)) as lo, max(coalesce(value, 0)) as hi from run_scalar where value is not null),
@@ -313,18 +312,17 @@ def a06_summary(spark, sf):
     """Distribution summary; values that aren't finite are counted apart."""
     r = lambda c: F.round(c, 6)
     v = F.col("value")
-    return table(spark, sf, "run_scalar", "tag", "value", "nf").groupBy("tag").agg(
-        F.count("value").alias("n"), F.count("nf").alias("n_nonfinite"), r(F.min(v)).alias("lo"), r(F.max(v)).alias("hi"), r(F.avg(v)).alias("mean"), r(F.stddev_pop(v)).alias("sd"), r(F.percentile(v, F.lit(0.5))).alias("median")
-    )
+    df = table(spark, sf, "run_scalar", "tag", "value", "nf")
+    plain = df.groupBy("tag").agg(F.count("value").alias("n"), F.count("nf").alias("n_nonfinite"), r(F.min(v)).alias("lo"), r(F.max(v)).alias("hi"), r(F.avg(v)).alias("mean"), r(F.stddev_pop(v)).alias("sd"))
+    median = st.exact_quantiles(df, ["tag"], "value", {"median": 0.5}).withColumnRenamed("tag", "of")
+    return plain.join(median, F.col("tag").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 @query("""select tag, round(quantile_cont(value, 0.01), 6) as p1, round(quantile_cont(value, 0.05), 6) as p5, round(quantile_cont(value, 0.25), 6) as p25, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.75), 6) as p75,
  round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99 from run_scalar group by tag""")
 def a06_quantiles(spark, sf):
     """The seven quantiles of the summary, exact."""
-    shares = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-    out = table(spark, sf, "run_scalar", "tag", "value").groupBy("tag").agg(F.percentile("value", F.array(*map(F.lit, shares))).alias("q"))
-    return out.select("tag", *(F.round(F.col("q")[i], 6).alias(f"p{round(100 * q)}") for i, q in enumerate(shares)))
+    return st.exact_quantiles(table(spark, sf, "run_scalar", "tag", "value"), ["tag"], "value", {f"p{q}": q / 100 for q in (1, 5, 25, 50, 75, 95, 99)})
 
 
 @query(f"select source, sha256(array_to_string(list(id order by row_no, id), chr(10))) as digest, count(*) as n from {UTT} group by source")
