@@ -22,8 +22,8 @@ from gleaner.session import discard, materialise
 NO_CHANNEL = ("", "-", "unknown", "n/a", "不明")
 SPREAD = 50_000
 LARGE = 2_000
-BUCKETS = 4_096
-STRATA = 64
+BUCKETS = 512
+STRATA = 512
 
 
 def recording_of(record: Column, media_key: Column) -> Column:
@@ -70,18 +70,19 @@ def connected_groups(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         links.join(degrees, "entity").select("record", "entity", parts.alias("parts"), F.pmod(F.xxhash64("record"), parts).cast("int").alias("part")), "edges"
     )
     # Labels are written compressed, so their file size would let the planner broadcast far more than it means to.
-    labels = materialise(edges.groupBy("record").agg(F.col("record").alias("label")), "labels")
+    labels = materialise(edges.select("record", F.col("record").alias("label")).distinct(), "labels")
     for _ in range(max_rounds):
-        known = edges.join(labels.hint("merge"), "record")
+        known = edges.join(labels.select("record", "label").hint("merge"), "record")
         least = known.groupBy("entity").agg(F.min("label").alias("least"), F.max("parts").alias("parts"))
         least = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         moved = known.join(least.hint("merge"), ["entity", "part"])
-        offers = moved.select(F.explode(F.array(F.struct("record", "least"), F.struct(F.col("label").alias("record"), "least"))).alias("o")).select("o.*")
-        hooked = offers.groupBy("record").agg(F.min("least").alias("label"))
+        # The record's own label goes along, so that a change shows without another join.
+        offers = moved.select(F.explode(F.array(F.struct("record", "least", F.col("label").alias("own")), F.struct(F.col("label").alias("record"), "least", F.lit(None).cast("string").alias("own")))).alias("o")).select("o.*")
+        hooked = offers.groupBy("record").agg(F.min("least").alias("label"), F.max("own").alias("own"))
         onward = hooked.select(F.col("record").alias("label"), F.col("label").alias("next"))
-        stepped = hooked.join(onward.hint("merge"), "label", "left").select("record", F.least("label", "next").alias("label"))
-        new = materialise(stepped, "labels")
-        changed = new.join(labels.withColumnRenamed("label", "old").hint("merge"), "record").filter("label != old").limit(1).count()
+        stepped = hooked.join(onward.hint("merge"), "label", "left").select("record", F.least("label", "next").alias("label"), "own")
+        new = materialise(stepped.withColumn("moved", F.col("label") != F.col("own")).drop("own"), "labels")
+        changed = not new.filter("moved").isEmpty()
         discard(labels)
         labels = new
         if not changed:
@@ -120,8 +121,8 @@ def assign_splits(members: DataFrame, targets: dict[str, float], salt: str = "sp
     ``members`` has ``group, stratum``, one row for each record. The at most 2,000 groups that hold
     1/2,000 of all records or more are placed one by one, largest first, where they leave the least
     squared deviation from the target counts of their strata. All others are placed by hash order
-    within their main stratum, with the cuts where the weights gathered in 4,096 hash buckets meet
-    what the splits still lack. Depends on the members only, not on their order or layout.
+    within their main stratum, with the cuts where the weights gathered in 512 hash buckets meet
+    what the splits still lack. Strata are folded into 512 cells, so that few share one. Depends on the members only, not on their order or layout.
     """
     cell = F.pmod(F.xxhash64(F.coalesce(F.col("stratum"), F.lit(""))), F.lit(STRATA)).cast("int")
     parts = members.filter("group is not null").groupBy("group", cell.alias("cell")).agg(F.count("*").alias("n"))
@@ -161,7 +162,7 @@ def assign_splits(members: DataFrame, targets: dict[str, float], salt: str = "sp
             filled += by[b]
         cuts.append((main, names[s], start, BUCKETS))
     spark = members.sparkSession
-    # At most one row for each of 64 strata and each split, and 2,000 groups.
+    # At most one row for each of 512 strata and each split, and 2,000 groups.
     bounds = F.broadcast(spark.createDataFrame(cuts or [(-1, "", 0, 0)], "main int, new_split string, low int, high int"))
     first = F.broadcast(spark.createDataFrame(list(placed.items()) or [("", "")], "group string, new_split string"))
     rest = small.select("group", "main", h.alias("h")).join(bounds, "main").filter("h >= low and h < high").select("group", "new_split")

@@ -83,6 +83,19 @@ def p4_shares(spark: SparkSession, sf: str) -> DataFrame:
     return by.join(table(spark, sf, "split_target"), "split").select("split", "n", "n_groups", "target_share", F.round(F.col("n") / F.col("n_all"), 6).alias("actual_share"))
 
 
+def p4_deviation(spark: SparkSession, sf: str) -> DataFrame:
+    """How far each source's shares in the splits are from the targets, now and as assigned."""
+    rows = _grouped(spark, sf).select("id", "new_split")
+    old = table(spark, sf, "utt_index", "id", "source", "split").filter("id is not null").groupBy("id").agg(F.min("source").alias("source"), F.min("split").alias("split"))
+    both = rows.join(old, "id").select("source", F.explode(F.array(F.struct(F.lit("assigned").alias("state"), F.col("new_split").alias("split")), F.struct(F.lit("present").alias("state"), F.col("split").alias("split")))).alias("x")).select("source", "x.*").filter("split is not null")
+    n = both.groupBy("source", "state", "split").agg(F.count("*").alias("n"))
+    whole = n.groupBy("source", "state").agg(F.sum("n").alias("n_all"))
+    # Three targets beside each source and state.
+    cells = whole.crossJoin(table(spark, sf, "split_target")).join(n, ["source", "state", "split"], "left")
+    share = F.coalesce("n", F.lit(0)) / F.col("n_all")
+    return cells.select("source", "state", "split", F.coalesce("n", F.lit(0)).alias("n"), F.round(share, 6).alias("share"), "target_share", F.round(F.abs(share - F.col("target_share")), 6).alias("deviation"))
+
+
 def _limits(spark: SparkSession, sf: str, kind: str) -> list[tuple[str, int, int]]:
     # The table of limits is fixed at four rows.
     return sorted((r.limit_name, r.max_tokens, r.overlap_tokens) for r in table(spark, sf, "size_limit").collect() if r.limit_name.startswith(kind))
@@ -139,7 +152,7 @@ def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_groups, p3_found, p3_sample, p3_continued, p3_drift, p4_found, p4_splits, p4_shares, p5_containers, p5_fill, p6_found, p6_mix, p6_shares, p7_found, p7_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_groups, p3_found, p3_sample, p3_continued, p3_drift, p4_found, p4_splits, p4_shares, p4_deviation, p5_containers, p5_fill, p6_found, p6_mix, p6_shares, p7_found, p7_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
