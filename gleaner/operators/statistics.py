@@ -92,6 +92,25 @@ def resampled_sums(scores: DataFrame, replicates: int, seed: str = "boot", block
     return parts.groupBy("stratum", "replicate", "system").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
 
 
+def hashed_draws(scores: DataFrame, replicates: int, seed: str = "draw", lot: int = 1_000) -> DataFrame:
+    """``stratum, replicate, system, num, den`` as ``resampled_sums``, but by hashes alone, so that any engine draws the same.
+
+    Draw ``i`` of a replicate takes the row whose number in the order of ids is a hash modulo the
+    stratum's size. As many draws are made as there are rows, in lots spread over the tasks; they are
+    counted by row before the rows are met. For few replicates: the draws are ``replicates`` times the rows.
+    """
+    ids = scores.select("stratum", "id").distinct().withColumn("one", F.lit(1).cast("bigint"))
+    numbered = materialise(sequence.running_total(ids, ["id"], "one", "k", ["stratum"]).drop("one"), "numbered")
+    sizes = numbered.groupBy("stratum").agg(F.max("k").alias("size")).filter("stratum is not null")
+    lots = sizes.select("stratum", "size", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select("*", F.explode(F.expr(f"sequence(0L, (size - 1) div {lot})")).alias("lot"))
+    each = lots.repartition("stratum", "replicate", "lot").select("stratum", "size", "replicate", F.explode(F.expr(f"sequence(lot * {lot}, least(size, lot * {lot} + {lot}) - 1)")).alias("i"))
+    h = F.sha2(F.concat_ws("|", F.lit(seed), "stratum", F.col("replicate").cast("string"), F.col("i").cast("string")), 256)
+    k = (F.conv(F.substring(h, 1, 12), 16, 10).cast("bigint") % F.col("size") + 1).alias("k")
+    times = each.select("stratum", "replicate", k).groupBy("stratum", "replicate", "k").agg(F.count("*").alias("times"))
+    drawn = times.join(numbered, ["stratum", "k"]).join(scores.select("stratum", "id", "system", "num", "den"), ["stratum", "id"])
+    return drawn.groupBy("stratum", "replicate", "system").agg(F.sum(F.col("num") * F.col("times")).alias("num"), F.sum(F.col("den") * F.col("times")).alias("den"))
+
+
 def compared(point: DataFrame, draws: DataFrame, a: str, b: str, level: float = 0.95, noise: float = 0.0, n_noisy: int = 0, inflate: float = 1.0) -> DataFrame:
     """Per stratum the ratio of two systems' rates, its bootstrap interval and the verdict.
 

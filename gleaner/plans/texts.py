@@ -159,6 +159,20 @@ def a15_bootstrap(spark, sf):
     return st.compared(st.point_sums(scores), st.resampled_sums(scores, 200), "first", "second", noise=0.01, n_noisy=1)
 
 
+@query(f"""with u as (select source as stratum, u.id, round(teacher_cer * length(ref)) as a, round(cer2 * length(ref)) as b, length(ref) as den from {UTT} u join {JUDGED} j using (id) where teacher_cer is not null and cer2 is not null and length(ref) > 0),
+ k as (select *, row_number() over (partition by stratum order by id) as k from u), n as (select stratum, count(*) as size from u group by stratum),
+ d as (select stratum, replicate, cast(('0x' || substr(sha256('draw|' || stratum || '|' || replicate || '|' || i), 1, 12)) as bigint) % size + 1 as k from n, range(0, 20) t(replicate), lateral (select unnest(range(0, size)) as i) r),
+ s as (select stratum, replicate, sum(a) as a, sum(b) as b, cast(sum(den) as double) as den from d join k using (stratum, k) group by 1, 2)
+ select stratum, cast(replicate as integer) as replicate, system, case system when 'first' then a else b end as num, den from s, (values ('first'), ('second')) v(system)""")
+def a15_hashed_draws(spark, sf):
+    """Paired draws with replacement within each stratum, as many as it has rows, by hashes alone, on stored rates."""
+    u = utterances(spark, sf, "id", "source", "ref", "teacher_cer").join(judged(spark, sf, "id", "cer2"), "id").filter("teacher_cer is not null and cer2 is not null and length(ref) > 0")
+    num = lambda c: F.round(F.col(c) * F.length("ref")).cast("double").alias("num")
+    each = F.explode(F.array(F.struct(F.lit("first").alias("system"), num("teacher_cer")), F.struct(F.lit("second").alias("system"), num("cer2"))))
+    s = u.select(F.col("source").alias("stratum"), "id", F.length("ref").cast("double").alias("den"), each.alias("x")).select("stratum", "id", "den", "x.*")
+    return st.hashed_draws(materialise(s, "scores"), 20)
+
+
 @query("""with d(stratum, replicate, na, nb, den) as (select 's' || (replicate % 3), replicate, 100 + 7 * replicate % 13, 90 + 5 * replicate % 17, 1000 from range(0, 60) t(replicate)),
  s as (select stratum, stddev_samp(ln(na::double / nb)) as sd, sum(na)::double / sum(nb) as ratio from d group by stratum), i as (select stratum, ratio, sqrt(sd * sd + 2 * 0.01 * 0.01) as se from s)
  select stratum, round(ratio, 6) as ratio, round(exp(ln(ratio) - 1.9599640 * se), 6) as low, round(exp(ln(ratio) + 1.9599640 * se), 6) as high, case when exp(ln(ratio) + 1.9599640 * se) < 1 then 'better' when exp(ln(ratio) - 1.9599640 * se) > 1 then 'worse' else 'within' end as verdict from i""")

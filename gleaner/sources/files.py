@@ -58,16 +58,18 @@ NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 def widest(kinds: list[str]) -> str:
-    """The type that holds values of all of ``kinds``: the widest number, else text."""
+    """The type that holds values of all of ``kinds``: the widest number, a double where whole numbers meet floats, else text."""
     if len(set(kinds)) == 1:
         return kinds[0]
+    if set(kinds) <= set(NUMBERS) and "float" in kinds and {"int", "bigint"} & set(kinds):
+        return "double"
     return NUMBERS[max(map(NUMBERS.index, kinds))] if all(k in NUMBERS for k in kinds) else "string"
 
 
 def read_parts(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Parts with different columns as one table: every column any of them has, of the widest type.
 
-    Parts of one schema are one scan. A whole number met with a float becomes a double.
+    Parts of one schema are one scan.
     """
     alike: dict[str, list[str]] = {}
     for path in paths:
@@ -77,7 +79,7 @@ def read_parts(spark: SparkSession, paths: list[str]) -> DataFrame:
     for df in frames:
         for name, kind in df.dtypes:
             kinds.setdefault(name, []).append(kind)
-    wide = {name: "double" if {"float", "bigint"} <= set(k) or {"float", "int"} <= set(k) else widest(k) for name, k in kinds.items()}
+    wide = {name: widest(k) for name, k in kinds.items()}
     cast = [df.select(*(F.col(c).cast(wide[c]).alias(c) for c in df.columns)) for df in frames]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), cast)
 
