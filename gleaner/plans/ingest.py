@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gleaner.functions import arrays, nested
 from gleaner.operators import batches, guards
 from gleaner.plans.registry import Registry
 from gleaner.plans.selection import STEM, UTT, stem, utterances
-from gleaner.session import scratch_dir, table
+from gleaner.session import scratch_path, table
 from gleaner.sources import files
 from gleaner.sources.retry import with_retries
 from gleaner.streaming import tail
@@ -19,7 +17,7 @@ query = Registry()
 
 
 def folder(spark, name: str) -> str:
-    return f"{scratch_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, name)
 
 
 @query("select id, n_tok from utt_index where split = 'eval' and n_tok > 20")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gleaner.functions import arrays, nested
@@ -11,7 +9,7 @@ from gleaner.plans.batches import PATIENCE_SQL
 from gleaner.plans.registry import Registry
 from gleaner.plans.runs import log
 from gleaner.plans.selection import UTT, utterances
-from gleaner.session import scratch_dir, table
+from gleaner.session import scratch_path, table
 from gleaner.sources import files
 from gleaner.streaming import tail
 
@@ -167,17 +165,13 @@ def e17_cells(spark, sf):
 # ------------------------------------------------------------------------------------ files and streams
 
 
-def _folder(spark, name):
-    return f"{scratch_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
-
-
 LINE = "run_key string, step bigint, wall double, tag string, value double, nf string"
 
 
 @query("select run_key, step, wall, tag, value, nf from run_scalar")
 def s03_lines(spark, sf):
     """Rows written as lines of JSON and read again, torn lines apart."""
-    folder = _folder(spark, "lines")
+    folder = scratch_path(spark, "lines")
     table(spark, sf, "run_scalar", "run_key", "step", "wall", "tag", "value", "nf").select(F.to_json(F.struct("*")).alias("value")).write.text(folder)
     return files.read_whole_lines(spark, folder, LINE)[0]
 
@@ -202,14 +196,14 @@ def s10_first_inputs(spark, sf):
 def s11_shards(spark, sf):
     """Files of at most 500 rows by source and split, and their manifest."""
     df = table(spark, sf, "utt_index", "id", "source", "split", "duration").filter("split is not null")
-    manifest = files.write_shards(df, _folder(spark, "shards"), ["source", "split"], 500)
+    manifest = files.write_shards(df, scratch_path(spark, "shards"), ["source", "split"], 500)
     return manifest.groupBy("source", "split").agg(F.sum("n_rows").alias("n_rows"), (F.max("n_rows") <= 500).alias("bounded"))
 
 
 @query("select vec_id, label, cast(len(embedding) as integer) as n from embeddings")
 def s15_export(spark, sf):
     """Nested columns as JSON in CSV, read back."""
-    folder = _folder(spark, "export")
+    folder = scratch_path(spark, "export")
     files.export(table(spark, sf, "embeddings"), folder, 10_000_000)
     back = spark.read.option("header", True).option("escape", '"').schema("vec_id bigint, embedding string, label int").csv(f"{folder}/csv")
     return back.select("vec_id", "label", F.size(F.from_json("embedding", "array<float>")).alias("n"))
@@ -218,7 +212,7 @@ def s15_export(spark, sf):
 @query("select run_key, tag, step, arg_max(value, wall) as value from (select * from run_scalar where value is not null) group by run_key, tag, step")
 def x01_stream_last(spark, sf):
     """A stream whose last value of each step and tag wins; a batch writes only what it changes."""
-    folder = _folder(spark, "stream")
+    folder = scratch_path(spark, "stream")
     table(spark, sf, "run_scalar").filter("value is not null").repartition(3).write.parquet(f"{folder}/in")
     stream = tail.tail(spark, f"{folder}/in", table(spark, sf, "run_scalar").schema, "parquet", 1)
     last = tail.last_values(["run_key", "tag", "step"], "wall", ["value"])
@@ -229,7 +223,7 @@ def x01_stream_last(spark, sf):
 @query("select time_bucket(interval '1 hour', ts) as began, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2")
 def x02_stream_windows(spark, sf):
     """Event-time windows over files in any order of time; a row counts however late it comes."""
-    folder = _folder(spark, "windows")
+    folder = scratch_path(spark, "windows")
     table(spark, sf, "events", "ts", "event_type", "value").repartition(3).write.parquet(f"{folder}/in")
     stream = tail.tail(spark, f"{folder}/in", "ts timestamp_ntz, event_type string, value double", "parquet", 1)
     partial, merge = tail.window_sums("ts", "event_type", "value")
@@ -241,7 +235,7 @@ def x02_stream_windows(spark, sf):
 @query("select event_id, user_id, event_type from events")
 def x03_stream_resume(spark, sf):
     """Files sent twice by a resumed writer give each event once; two runs share one checkpoint."""
-    folder = _folder(spark, "resume")
+    folder = scratch_path(spark, "resume")
     events = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type")
     stream = lambda: tail.distinct_stream(tail.tail(spark, f"{folder}/in", "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string", "parquet"), "ts", ["event_id"], "400 days")
     events.filter("event_id % 3 != 0").write.parquet(f"{folder}/in/part=0")
@@ -254,7 +248,7 @@ def x03_stream_resume(spark, sf):
 @query(PATIENCE_SQL)
 def x09_stream_patience(spark, sf):
     """Patience carried from one micro-batch to the next."""
-    folder = _folder(spark, "patience")
+    folder = scratch_path(spark, "patience")
     df = log(spark, sf, "run_key", "tag", "step", "value").filter("tag = 'train/loss'").select("run_key", "step", "value")
     schema = "run_key string, step bigint, value double"
     for part, rows in enumerate(("step < 80", "step >= 80")):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -76,10 +77,22 @@ def scratch_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local[") and context.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     named = tempfile.mkdtemp(prefix="gleaner-")
+    atexit.register(shutil.rmtree, named, True)
     context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, below one folder for each application."""
+    return f"{scratch_dir(spark)}/gleaner/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application wrote to the shared folder; results that still read it can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/gleaner/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -87,7 +100,7 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     true size of the step.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
