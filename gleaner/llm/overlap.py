@@ -22,6 +22,14 @@ by a count of the leading grams of all held-out suffixes, folded into a fixed nu
 bears on speed only. So does ``DEPTH``, to which the order is worked out: a longer span is one of
 ``DEPTH`` characters, and a span may be cut shorter without losing a pair.
 
+Where short texts share a template, some spans must begin with a gram that a great part of all texts
+has, and that class would pair them all. A hot gram, one with more than a fixed share of all held-out
+suffixes, therefore stands in the array together with a piece of the text around it: if the span
+stands unchanged, the at most ``k`` edits lie in the rest, so of ``k + 1`` disjoint pieces of two
+characters one stands unchanged as well. The training side gives those ``k + 1`` pieces that are
+rarest, the held-out side all pieces about the gram. In a long text this holds for at least one of the
+stretches it is cut into, as not every stretch can have more edits than its share.
+
 Splitters come from a sample of bounded size, as in any sort by ranges. A prefix so frequent that it
 fills several ranges is cut by record instead, and a range with many training suffixes for its few
 held-out ones is divided among tasks by training record, so no task takes a hot prefix alone.
@@ -47,11 +55,14 @@ from gleaner.session import materialise, ship
 
 GRAM = 4  # least characters of a span; k + 1 disjoint ones fit any text of 15 characters or more
 DEPTH = 24  # characters to which suffixes are ordered, a multiple of four
-CELLS = 1 << 17  # into which gram counts are folded
+CELLS = 1 << 17  # into which counts of leading grams are folded
+PIECES = 1 << 15  # into which counts of two-character pieces are folded
+HOT = 1 << 12  # a gram that begins more than one in so many held-out suffixes is hot
 LOT = 2_000  # texts of one length that are placed at once
 STRETCH = 136  # characters that one run of dynamic programming covers
 RANGE = 1_000_000  # suffixes that one range holds, about
 SAMPLE = 50_000  # suffixes of each side that the splitters are read from, about
+PIECED = GRAM + 3  # a gram, the mark and a piece
 PAIRS = 1 << 20  # pairs of suffixes that are compared at once
 KEEP = re.compile("[^\\w￿]+|_+")
 MET = ["tid_held", "tid_train", "place", "wanted"]
@@ -98,12 +109,12 @@ class Codes:
         self.at = np.concatenate([[0], np.cumsum(self.n + DEPTH)])[:-1]
         flat = np.frombuffer(("\0" * DEPTH).join([*texts, "\0" * GRAM]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         code = (flat ^ ((flat >> np.uint64(16)) * np.uint64(40503))) & np.uint64(0xFFFF)
-        pair = (code[:-1] << np.uint64(16)) | code[1:]
-        self.packed = (pair[:-2] << np.uint64(32)) | pair[2:]
+        self.pair = (code[:-1] << np.uint64(16)) | code[1:]
+        self.packed = (self.pair[:-2] << np.uint64(32)) | self.pair[2:]
 
-    def places(self) -> tuple[np.ndarray, np.ndarray]:
-        """Row and flat place of each suffix of ``GRAM`` or more characters."""
-        per = np.maximum(self.n - GRAM + 1, 0)
+    def places(self, least: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+        """Row and flat place of each suffix of ``least`` or more characters."""
+        per = np.maximum(self.n - least + 1, 0)
         row = np.repeat(np.arange(len(self.n)), per)
         inside = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
         return row, self.at[row] + inside
@@ -131,20 +142,36 @@ def _cell(grams: np.ndarray, cells: int) -> np.ndarray:
     return (_mix(grams) % np.uint64(cells)).astype(np.int64)
 
 
-def _chance(tid: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """A number below 2**32 for each suffix, from its text and place alone."""
-    return _mix(_mix(tid.astype(np.uint64)) + place.astype(np.uint64)) >> np.uint64(32)
+def _chance(tid: np.ndarray, what: np.ndarray) -> np.ndarray:
+    """A number below 2**32 for each suffix, from its text and what it is there."""
+    return _mix(_mix(tid.astype(np.uint64)) + what) >> np.uint64(32)
+
+
+class Counts:
+    """How often grams and pieces begin held-out suffixes, folded into cells, and from where on a gram is hot."""
+
+    def __init__(self, grams: np.ndarray, pieces: np.ndarray, floor: int):
+        self.grams, self.pieces = grams, pieces
+        self.most = max(floor, int(grams.sum()) // HOT)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        return self.grams[_cell(grams, len(self.grams))]
+
+    def hot(self, grams: np.ndarray) -> np.ndarray:
+        return self.of(grams) > self.most
 
 
 def _count_cells(cells: int):
-    """Counts of the leading grams of a partition's suffixes, folded into ``cells``."""
+    """Counts of the leading grams of a partition's suffixes, folded into ``cells``, and behind them those of all its pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
+        total = np.zeros(cells + PIECES, np.int64)
         for b in portions(batches):
             c = Codes(b)
             _, at = c.places()
-            total += np.bincount(_cell(c.packed[at], cells), minlength=cells)
+            total[:cells] += np.bincount(_cell(c.packed[at], cells), minlength=cells)
+            _, at = c.places(2)
+            total[cells:] += np.bincount(_cell(c.pair[at], PIECES), minlength=PIECES)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], ["cell", "n"])
 
@@ -198,41 +225,91 @@ def spans_of(n: int, rate: Fraction) -> int:
     return spans
 
 
-def chosen_spans(c: Codes, counts: np.ndarray, rate: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, flat start and length of the ``k + 1`` or more disjoint spans of each text of a portion.
+def chosen_spans(c: Codes, counts: Counts, rate: Fraction) -> tuple[np.ndarray, ...]:
+    """Row, flat start and length of the ``k + 1`` or more disjoint spans of each text of a portion, and the flat start and length of their stretch.
 
     Stretches of a long text each give their share of spans, which costs nothing: the shares add up to
     at least ``k + 1``.
     """
     cuts = [(i, a, length) for i, n in enumerate(c.n.tolist()) for a, length in stretches(n)]
     rows, offs, lens = np.array(cuts, np.int64).reshape(-1, 3).T
-    out_row, out_at = [], []
+    out_of, out_at = [], []
     for length in np.unique(lens):
         spans = spans_of(int(length), rate)
         alike = np.flatnonzero(lens == length)
         for mine in np.array_split(alike, -(-len(alike) // LOT)):
             base = c.at[rows[mine]] + offs[mine]
             grid = base[None, :] + np.arange(length - GRAM + 1)[:, None]
-            starts = cheapest_starts(counts[_cell(c.packed[grid], len(counts))], spans, GRAM)
-            out_row.append(np.tile(rows[mine], spans)), out_at.append((base[None, :] + starts).ravel())
-    if not out_row:
-        return (np.zeros(0, np.int64),) * 3
-    row, at = np.concatenate(out_row), np.concatenate(out_at)
+            starts = cheapest_starts(counts.of(c.packed[grid]), spans, GRAM)
+            out_of.append(np.tile(mine, spans)), out_at.append((base[None, :] + starts).ravel())
+    if not out_of:
+        return (np.zeros(0, np.int64),) * 5
+    of, at = np.concatenate(out_of), np.concatenate(out_at)
     order = np.argsort(at, kind="stable")
-    row, at = row[order], at[order]
+    of, at = of[order], at[order]
+    row = rows[of]
     after = np.concatenate([at[1:], [0]])
     end = np.where(np.concatenate([row[1:] == row[:-1], [False]]), after, c.at[row] + c.n[row])
-    return row, at, np.minimum(end - at, DEPTH)
+    return row, at, np.minimum(end - at, DEPTH), c.at[row] + offs[of], lens[of]
+
+
+def _with_pieces(grams: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    """Prefixes of a hot gram with a piece behind it, parted by a mark that no text holds."""
+    out = np.zeros((DEPTH // 4, len(grams)), np.uint64)
+    out[0], out[1] = grams, np.uint64(1 << 48) | (pieces << np.uint64(16))
+    return out
+
+
+def _rarest_pieces(c: Codes, at: int, begin: int, length: int, counts: Counts, rate: Fraction) -> np.ndarray:
+    """Places of the ``k + 1`` rarest disjoint pieces of a stretch that lie beside the gram at ``at``."""
+    grid = np.concatenate([np.arange(begin, at - 1, 2), np.arange(at + GRAM, begin + length - 1, 2)])
+    need = int(edits_allowed(length, rate)) + 1
+    return grid[np.argsort(counts.pieces[_cell(c.pair[grid], PIECES)], kind="stable")[:need]]
+
+
+def _once(row: np.ndarray, grams: np.ndarray, which: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of the entries of one text that have equal grams and pieces."""
+    order = np.lexsort((piece, grams[which], row[which]))
+    which, piece = which[order], piece[order]
+    fresh = np.ones(len(which), bool)
+    fresh[1:] = (row[which][1:] != row[which][:-1]) | (grams[which][1:] != grams[which][:-1]) | (piece[1:] != piece[:-1])
+    return which[fresh], piece[fresh]
 
 
-def _suffixes(c: Codes, held: bool, counts: np.ndarray | None, rate: Fraction):
-    """Row, flat place, needed length and prefix of the suffixes that a portion gives to the array."""
+def _suffixes(c: Codes, held: bool, counts: Counts, rate: Fraction) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, flat place, needed length and prefix of the suffixes that a portion gives to the array, in lots."""
     if held:
         row, at = c.places()
         need = np.zeros(len(row), np.int64)
-        return row, at, need, c.prefixes(at)
-    row, at, need = chosen_spans(c, counts, rate)
-    return row, at, need, c.prefixes(at, need)
+    else:
+        row, at, need, begin, length = chosen_spans(c, counts, rate)
+    hot = counts.hot(c.packed[at])
+    plain = np.flatnonzero(~hot)
+    yield row[plain], at[plain], need[plain], c.prefixes(at[plain], None if held else need[plain])
+    hot = np.flatnonzero(hot)
+    if not held:
+        beside = [_rarest_pieces(c, at[i], begin[i], length[i], counts, rate) for i in hot.tolist()]
+        which = np.repeat(hot, [len(x) for x in beside])
+        if not len(which):
+            return
+        piece = c.pair[np.concatenate(beside)]
+        # Spans of a text in one stretch are counted, so each stays; of a longer one any is enough.
+        short = c.n[row[which]] <= STRETCH
+        of, beyond = _once(row, c.packed[at], which[~short], piece[~short])
+        which, piece = np.concatenate([which[short], of]), np.concatenate([piece[short], beyond])
+        yield row[which], at[which], np.full(len(which), PIECED), _with_pieces(c.packed[at[which]], piece)
+        return
+    reach = STRETCH + int(edits_allowed(STRETCH, rate))
+    for lot in np.array_split(hot, max(1, len(hot) // 4096)):
+        text, end = c.at[row[lot]], c.at[row[lot]] + c.n[row[lot]]
+        low, high = np.maximum(text, at[lot] - reach), np.minimum(end - 1, at[lot] + reach)
+        per = np.maximum(high - low, 0)
+        which = np.repeat(lot, per)
+        piece = np.repeat(low, per) + _inside(per)
+        apart = (piece + 2 <= at[which]) | (piece >= at[which] + GRAM)
+        which, piece = which[apart], c.pair[piece[apart]]
+        which, piece = _once(row, c.packed[at], which, piece)
+        yield row[which], at[which], np.zeros(len(which), np.int64), _with_pieces(c.packed[at[which]], piece)
 
 
 def _bytes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -246,15 +323,15 @@ def _bounds(prefix: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return _bytes(prefix[0], prefix[1]), _bytes(*high)
 
 
-def _sampled(held: bool, counts: np.ndarray | None, rate: Fraction, chance: float):
+def _sampled(held: bool, counts: Counts, rate: Fraction, chance: float):
     """The first eight characters of a part of the suffixes, drawn by their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
             c = Codes(b)
-            row, at, need, prefix = _suffixes(c, held, counts, rate)
-            drawn = np.flatnonzero(_chance(c.tid[row], at - c.at[row]) < np.uint64(int(chance * (1 << 32))))
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64), pa.int64()) for x in (prefix[0][drawn], prefix[1][drawn])] + [pa.array(need[drawn], pa.int64())], ["a", "b", "need"])
+            for row, at, need, prefix in _suffixes(c, held, counts, rate):
+                drawn = np.flatnonzero(_chance(c.tid[row], (at - c.at[row]).astype(np.uint64) + prefix[1]) < np.uint64(int(chance * (1 << 32))))
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64), pa.int64()) for x in (prefix[0][drawn], prefix[1][drawn])] + [pa.array(need[drawn], pa.int64())], ["a", "b", "need"])
 
     return run
 
@@ -322,27 +399,27 @@ def _unpacked_run(value: bytes, kinds: list) -> list[np.ndarray]:
 KINDS = [*[np.uint64] * (DEPTH // 4), np.int64, np.int32, np.int32, np.uint8]
 
 
-def _sorted_runs(held: bool, counts: np.ndarray | None, rate: Fraction, ranges: Ranges):
+def _sorted_runs(held: bool, counts: Counts, rate: Fraction, ranges: Ranges):
     """The suffix array of each portion, cut into one run for each task of the ranges it goes to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
             c = Codes(b)
-            row, at, need, prefix = _suffixes(c, held, counts, rate)
-            tid = c.tid[row]
-            if held:
-                which, part = ranges.of_held(_bytes(prefix[0], prefix[1]), tid)
-            else:
-                which, part = ranges.of_training(*_bounds(prefix, need), tid)
-            order = np.lexsort((*prefix[::-1, which], part))
-            which, part = which[order], part[order]
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-            columns = [*prefix[:, which], tid[which], (at - c.at[row])[which].astype(np.int32), c.n[row][which].astype(np.int32), need[which].astype(np.uint8)]
-            spans = [(i, j) for i, j in zip(cuts, cuts[1:]) if j > i]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(part[i]) for i, _ in spans], pa.int32()), pa.array([held] * len(spans), pa.bool_()), pa.array([_packed_run([x[i:j] for x in columns]) for i, j in spans], pa.binary())],
-                ["part", "held", "run"],
-            )
+            for row, at, need, prefix in _suffixes(c, held, counts, rate):
+                tid = c.tid[row]
+                if held:
+                    which, part = ranges.of_held(_bytes(prefix[0], prefix[1]), tid)
+                else:
+                    which, part = ranges.of_training(*_bounds(prefix, need), tid)
+                order = np.lexsort((*prefix[::-1, which], part))
+                which, part = which[order], part[order]
+                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+                columns = [*prefix[:, which], tid[which], (at - c.at[row])[which].astype(np.int32), c.n[row][which].astype(np.int32), need[which].astype(np.uint8)]
+                spans = [(i, j) for i, j in zip(cuts, cuts[1:]) if j > i]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(part[i]) for i, _ in spans], pa.int32()), pa.array([held] * len(spans), pa.bool_()), pa.array([_packed_run([x[i:j] for x in columns]) for i, j in spans], pa.binary())],
+                    ["part", "held", "run"],
+                )
 
     return run
 
@@ -395,10 +472,13 @@ def _cross_split(rate: Fraction):
         # Compared as wholes, a training suffix is its span alone and so stands before all that go on from it.
         for a, b in met_in_classes(prefix, need.astype(np.int64), need == 0):
             most = np.maximum(n[a], n[b]).astype(np.int64) * rate.numerator // rate.denominator
-            near = (np.abs(n[a].astype(np.int64) - n[b]) <= most) & (np.abs(place[a].astype(np.int64) - place[b]) <= most)
+            # A hot gram with a piece stands once for all its places in a text.
+            in_place = (np.abs(place[a].astype(np.int64) - place[b]) <= most) | (prefix[1][a] >> np.uint64(48) == 1)
+            near = (np.abs(n[a].astype(np.int64) - n[b]) <= most) & in_place
             lengths, which = np.unique(n[a[near]], return_inverse=True)
-            spans = np.array([sum(spans_of(x, rate) for _, x in stretches(int(m))) for m in lengths], np.int64)[which]
-            found = np.unique(np.stack([tid[b[near]], tid[a[near]], place[a[near]], spans - most[near]], 1), axis=0)
+            # Of a text in several stretches one span is enough, as a hot one holds only in a stretch with few edits.
+            spans = np.array([spans_of(int(m), rate) if m <= STRETCH else 0 for m in lengths], np.int64)[which]
+            found = np.unique(np.stack([tid[b[near]], tid[a[near]], place[a[near]], np.maximum(1, spans - most[near])], 1), axis=0)
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found.T], MET)
 
@@ -422,20 +502,22 @@ def distinct_texts(records: DataFrame) -> DataFrame:
     return records.groupBy("text").agg(*flags).select(F.monotonically_increasing_id().alias("tid"), "text", "in_train", "in_held_out")
 
 
-def shared_spans(texts: DataFrame, rate: Fraction = Fraction(15, 100), cells: int = CELLS, per_range: int = RANGE, sample: int = SAMPLE) -> DataFrame:
+def shared_spans(texts: DataFrame, rate: Fraction = Fraction(15, 100), cells: int = CELLS, per_range: int = RANGE, sample: int = SAMPLE, floor: int = 64) -> DataFrame:
     """Pairs of texts across the split that share a span in place: ``tid_held, tid_train``, each once.
 
-    Every pair within ``rate`` is among the pairs. ``cells``, ``per_range`` (suffixes in a range) and
-    ``sample`` (suffixes the splitters are read from) bear on speed only.
+    Every pair within ``rate`` is among the pairs. ``cells``, ``per_range`` (suffixes in a range),
+    ``sample`` (suffixes the splitters are read from) and ``floor`` (least count of a hot gram) bear on
+    speed only.
     """
     spark = texts.sparkSession
     ship(spark)
     texts = texts.select("tid", "text", "in_train", "in_held_out")
     sides = {held: texts.filter("in_held_out" if held else "in_train").select("tid", "text") for held in (True, False)}
     # A fixed number of cells reaches the driver, whatever the input.
-    counts = np.zeros(cells, np.int64)
+    folded = np.zeros(cells + PIECES, np.int64)
     found = sides[True].mapInArrow(_count_cells(cells), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    folded[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    counts = Counts(folded[:cells], folded[cells:], floor)
     size = texts.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.sum(F.when(F.col("in_held_out"), F.length("text"))).alias("held")).first()
     drawn = {}
     for held, df in sides.items():

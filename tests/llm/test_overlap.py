@@ -66,12 +66,12 @@ def test_equals_brute_force(spark):
 def test_common_endings(spark):
     # Every text ends alike and few letters are used, so short texts can't avoid common spans.
     rows = corpus(2, list("abcdefghij"), "られたらしい", 120)
-    assert found(spark, rows, cells=1 << 10) == brute(rows) != set()
+    assert found(spark, rows, cells=1 << 10, floor=1) == brute(rows) != set()
 
 
 def test_two_letters(spark):
     rows = corpus(3, list("ab"), "", 40)
-    assert found(spark, rows, cells=64) == brute(rows) != set()
+    assert found(spark, rows, cells=64, floor=1) == brute(rows) != set()
 
 
 def test_odd_rows(spark):
@@ -135,7 +135,7 @@ def brute_covered(text, partners):
 
 def test_coverage_of_pairs_and_records(spark):
     letters = [chr(c) for c in range(0x4E00, 0x4E40)]
-    for rows, tuning in ((corpus(7, letters, "", 40), {}), (corpus(8, list("abcdefghij"), "られたらしい", 40), {"cells": 1 << 10})):
+    for rows, tuning in ((corpus(7, letters, "", 40), {}), (corpus(8, list("abcdefghij"), "られたらしい", 40), {"cells": 1 << 10, "floor": 1})):
         texts = {i: o.comparable([r])[0] for i, _, r, _ in rows}
         df = spark.createDataFrame(rows, "id string, split string, ref string, hyp string")
         got, partners = o.cross_split_pairs(df, **tuning).collect(), {}
@@ -222,4 +222,30 @@ def test_ranges_bring_every_prefix_to_its_suffixes():
 def test_few_suffixes_in_a_range(spark):
     # Many ranges, hot prefixes that fill several, and a sample that misses most of the order.
     rows = corpus(14, list("abcdefghij"), "られたらしい", 80)
-    assert found(spark, rows, per_range=60, sample=300) == brute(rows) != set()
+    assert found(spark, rows, per_range=60, sample=300, floor=20) == brute(rows) != set()
+
+
+def test_template_does_not_pair_all(spark):
+    rng = random.Random(15)
+    letters = [chr(0x4E00 + i) for i in range(2000)]
+    frame = [rng.choice(letters) for _ in range(28)]
+    rows = []
+    for i in range(400):
+        middle = [rng.choice(letters) for _ in range(16)]
+        rows.append((f"t{i}", "train", "".join(frame[:14] + middle + frame[14:]), None))
+        if i % 4 == 0:
+            rows.append((f"e{i}", "dev", edited(rng, rows[-1][2], i % 7, letters), None))
+    df = spark.createDataFrame(rows, "id string, split string, ref string, hyp string")
+    texts = o.materialise(o.distinct_texts(o.held_out_records(df)), "texts")
+    assert o.shared_spans(texts, floor=20).count() < 400
+    assert found(spark, rows, floor=20) == brute(rows) != set()
+
+
+def test_long_texts_with_hot_spans(spark):
+    rng = random.Random(16)
+    frame = "".join(rng.choice("abcde") for _ in range(120))
+    rows = []
+    for i in range(24):
+        text = "".join(frame[:60] + "".join(rng.choice("abcdefgh") for _ in range(30)) + frame[60:] for _ in range(3))
+        rows += [(f"t{i}", "train", text, None), (f"e{i}", "dev", edited(rng, text, 10 + 3 * i, "xyz"), None)]
+    assert found(spark, rows, floor=5) == brute(rows) != set()
