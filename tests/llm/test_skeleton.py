@@ -1,7 +1,10 @@
 import unicodedata
+from unittest.mock import Mock
 
 import pytest
 
+from gleaner.llm import skeleton as skeleton_module
+from gleaner.llm.overlap import cross_split_pairs
 from gleaner.llm.skeleton import LETTER_RANGES, consistent, look_alike_groups, look_alike_pairs, public_letters, skeleton, skeletons, with_skeleton
 
 SAME = [
@@ -61,3 +64,36 @@ def test_recall_of_the_public_table(spark):
         assert skeleton(a, public) == skeleton(b, public)
     df = spark.createDataFrame([("ⲘⲞᗞᴇ ᴏᴜt", "MODᴇ out"), ("Ꮤ", "W"), ("ᑭ", "P"), ("ⲘⲞ", "mo")], "a string, b string").selectExpr("*", "b as k")
     assert {r.k for r in look_alike_pairs(df, "k", "a", "b").collect()} == {"MODᴇ out", "W", "P"}
+
+
+class Jvm:
+    """The JVM of a session, with another thing in place of its ``com``."""
+
+    def __init__(self, jvm, com):
+        self.jvm, self.com = jvm, com
+
+    def __getattr__(self, name):
+        return getattr(self.jvm, name)
+
+
+def icu(answer):
+    com = Mock()
+    com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton = lambda _, text: answer(text)
+    return com
+
+
+def test_missing_table_is_an_error(spark, monkeypatch):
+    df = spark.createDataFrame([("ⲘⲞᗞᴇ", "MODᴇ"), ("РСХ", "PCX")], "a string, b string").selectExpr("*", "b as k")
+    texts = df.selectExpr("explode(array(a, b)) as text")
+    rows = df.selectExpr("k as id", "'train' as split", "a as ref", "b as hyp")
+    real = spark._jvm
+    # No such class, no such attribute, a table without letters, one that loses letters.
+    for com in (real.nowhere, None, icu(lambda x: x), icu(lambda x: x.replace("\n", "", 1))):
+        monkeypatch.setattr(skeleton_module, "_PUBLIC", {})
+        monkeypatch.setattr(spark, "_jvm", Jvm(real, com))
+        for query in (lambda: look_alike_pairs(df, "k", "a", "b"), lambda: look_alike_groups(texts, "text"), lambda: cross_split_pairs(rows)):
+            with pytest.raises(RuntimeError, match="public table"):
+                query()
+        # What failed isn't kept: the next call with a table has all letters.
+        monkeypatch.setattr(spark, "_jvm", real)
+        assert {r.k for r in look_alike_pairs(df, "k", "a", "b").collect()} == {"MODᴇ", "PCX"}
